@@ -51,31 +51,31 @@ def words_list(text, sep=",") -> Column:
                     lambda p: p != "")
 
 
-def located(text, pattern: str) -> Column:
-    """Every match of ``pattern`` as ``(line, text)``.
+def let(value, body) -> Column:
+    """Bind ``value`` once and use it many times inside one expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def located(text, pattern) -> Column:
+    """Every match of ``pattern`` (a column) as ``(line, text)``.
 
     ``text`` starts at the match and runs to the next one, so groups are read from
-    it with an anchored pattern. One scan of the input per pattern.
+    it with the same pattern, anchored. One scan of the input per pattern.
     """
-    pieces = F.split(F.regexp_replace(text, rx(pattern), MARK + "$0"), MARK)
-    # The first piece lies before the first match: it only moves the line counter.
-    walked = F.aggregate(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        F.struct(
-            (F.lit(1) + newlines(F.element_at(pieces, 1))).alias("line"),
-            F.array().cast("array<struct<line:int,text:string>>").alias("out"),
-        ),
-        lambda acc, piece: F.struct(
-            (acc["line"] + newlines(piece)).alias("line"),
-            F.concat(acc["out"], F.array(F.struct(acc["line"].alias("line"), piece.alias("text")))).alias("out"),
-        ),
-    )
-    return F.when(F.size(pieces) > 1, walked["out"]).otherwise(
-        F.array().cast("array<struct<line:int,text:string>>"))
-
-
-def anchored(piece, pattern: str, group: int) -> Column:
-    return F.regexp_extract(piece, rx(rf"\A(?:{pattern})"), group)
+    hits = "array<struct<line:int,text:string>>"
+    pieces = F.split(F.regexp_replace(text, pattern, F.lit(MARK + "$0")), MARK)
+
+    def walk(p):
+        # The first piece lies before the first match: it only moves the line counter.
+        return F.aggregate(
+            F.slice(p, 2, F.size(p)),
+            F.struct((F.lit(1) + newlines(F.element_at(p, 1))).alias("line"), F.array().cast(hits).alias("out")),
+            lambda acc, piece: F.struct(
+                (acc["line"] + newlines(piece)).alias("line"),
+                F.concat(acc["out"], F.array(F.struct(acc["line"].alias("line"), piece.alias("text")))).alias("out")),
+        )["out"]
+
+    return let(pieces, walk)
 
 
 def slice_lines(lines, first, last) -> Column:

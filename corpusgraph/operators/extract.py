@@ -4,6 +4,8 @@ Everything of one file is computed inside its row (arrays), so extraction needs
 exchange: a file is at most the scan limit in size, which bounds every array.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
@@ -11,84 +13,95 @@ from ..functions.text import NL, rx
 from ..rules import extraction as ex, scan
 
 STRINGS = "array<string>"
-FOUND = "array<struct<rule:int,indent:int,line:int,head_end:int,name:string,params:array<string>,decorators:array<string>,bases:array<string>>>"
+RULE = "struct<family:string,pos:int,pattern:string,groups:int,name:int,params:int,bases:int>"
+FOUND = "array<struct<family:string,pos:int,indent:int,line:int,at:int,head_end:int,name:string,params:array<string>,decorators:array<string>,bases:array<string>>>"
 SYMBOL = "array<struct<kind:string,name:string,line_start:int,line_end:int,params:array<string>,decorators:array<string>,bases:array<string>,methods:array<string>>>"
 IMPORT = "array<struct<source:string,specifiers:array<string>,line:int>>"
 EXPORT = "array<struct<name:string,line:int>>"
 
-# ---- rule-driven languages -------------------------------------------------
+# ---- rules as data -----------------------------------------------------------
 
 
 def _none(kind: str = STRINGS) -> Column:
     return F.array().cast(kind)
 
 
-def _param_names(params) -> Column:
-    """Last word of each parameter, and of that the text after the last colon."""
-    words = F.filter(F.split(params, ","), tx.nonblank)
-    last_word = F.transform(words, lambda p: F.regexp_extract(p, rx(r"(\S+)\s*\z"), 1))
-    return F.transform(last_word, lambda w: F.element_at(F.split(w, ":"), -1))
-
-
-def _comma_list(col) -> Column:
-    return F.filter(F.transform(F.split(col, ","), tx.strip), lambda b: b != "")
+def rule_rows(extra: dict = None) -> dict:
+    """Rule rows by language. ``extra`` maps a family (function, class, import, export)
+    to further ``{language: [Rule]}`` entries, which replace those of the same language."""
+    families = {"function": ex.FUNCTION_RULES, "class": ex.CLASS_RULES, "import": ex.IMPORT_RULES, "export": ex.EXPORT_RULES}
+    rows = {"python": [
+        dict(family="function", pos=0, pattern=_DEF, groups=5, name=4, params=5, bases=0),
+        dict(family="class", pos=0, pattern=_CLASS, groups=5, name=4, params=0, bases=5),
+        dict(family="import", pos=0, pattern=_IMPORT, groups=2, name=1, params=0, bases=0),
+        dict(family="import", pos=1, pattern=_FROM, groups=3, name=1, params=0, bases=0),
+    ]}
+    for family, base in families.items():
+        for lang, rules in {**base, **((extra or {}).get(family) or {})}.items():
+            for pos, r in enumerate(rules):
+                rows.setdefault(lang, []).append(dict(
+                    family=family, pos=pos, pattern=r.spark_pattern, groups=max(r.groups, r.name, r.params, r.bases),
+                    name=r.name, params=r.params, bases=r.bases))
+    return rows
+
+
+def rule_hits(text, language, extra: dict = None) -> Column:
+    """All matches of all rules of the row's language: family, rule, line, groups.
+
+    The rules are one constant map, so the plan has the same size for any number of
+    languages and rules, and only the rules of the row's language run.
+    """
+    table = F.from_json(F.lit(json.dumps(rule_rows(extra))), f"map<string,array<{RULE}>>")
 
+    def of_rule(rule):
+        inner = F.concat(F.lit(rx(r"\A(?:")), rule["pattern"], F.lit(")"))
 
-def _rule_matches(text, rules: list) -> Column:
-    def builder(pos, rule):
-        pattern = rule.spark_pattern
+        def of_hit(hit):
+            groups = F.transform(F.sequence(F.lit(1), rule["groups"]), lambda g: F.call_function("regexp_extract", hit["text"], inner, g))
+            return F.struct(rule.alias("rule"), hit["line"].alias("line"), groups.alias("groups"))
 
-        def build(hit):
-            params = _param_names(tx.anchored(hit["text"], pattern, rule.params)) if rule.params else _none()
-            bases = _comma_list(tx.anchored(hit["text"], pattern, rule.bases)) if rule.bases else _none()
-            return F.struct(
-                F.lit(pos).alias("rule"), F.lit(0).alias("indent"), hit["line"].alias("line"),
-                hit["line"].alias("head_end"), tx.anchored(hit["text"], pattern, rule.name).alias("name"),
-                params.alias("params"), _none().alias("decorators"), bases.alias("bases"))
+        return F.transform(tx.located(text, F.concat(F.lit(rx("")), rule["pattern"])), of_hit)
 
-        return build
+    rules = F.coalesce(F.try_element_at(table, language), F.array().cast(f"array<{RULE}>"))
+    return F.flatten(F.transform(rules, of_rule))
 
-    return _joined([F.transform(tx.located(text, r.spark_pattern), builder(i, r)).cast(FOUND) for i, r in enumerate(rules)])
 
+def _group(hit, index) -> Column:
+    return F.when(index > 0, F.element_at(hit["groups"], index)).otherwise(F.lit(""))
 
-def _joined(arrays: list) -> Column:
-    return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
 
+def _param_names(params) -> Column:
+    """Last word of each parameter, and of that the text after the last colon."""
+    return F.transform(F.filter(F.split(params, ","), tx.nonblank),
+                       lambda p: F.regexp_extract(p, rx(r"([^\s:]*)\s*\z"), 1))
 
-def _by_language(language, per_language: dict, empty: str) -> Column:
-    """One branch per language; only the branch of the row's language is evaluated."""
-    col = None
-    for lang, expr in per_language.items():
-        col = F.when(language == lang, expr) if col is None else col.when(language == lang, expr)
-    return col.otherwise(F.array().cast(empty))
 
+def _comma_list(col) -> Column:
+    return F.filter(F.transform(F.split(col, ","), tx.strip), lambda b: b != "")
 
-def _imports(text, rules: list) -> Column:
-    def builder(rule):
-        def build(hit):
-            groups = F.filter(F.array(*[tx.anchored(hit["text"], rule.spark_pattern, g + 1) for g in range(rule.groups)]),
-                              lambda g: g != "")
-            return F.struct(
-                F.coalesce(F.try_element_at(groups, F.lit(-1)), F.lit("")).alias("source"),
-                F.when(F.size(groups) > 1, _comma_list(F.element_at(groups, 1))).otherwise(_none()).alias("specifiers"),
-                hit["line"].alias("line"))
 
-        return build
+def _found(hit, at) -> Column:
+    return F.struct(
+        hit["rule"]["family"].alias("family"), hit["rule"]["pos"].alias("pos"), F.lit(0).alias("indent"),
+        hit["line"].alias("line"), at.alias("at"), hit["line"].alias("head_end"),
+        _group(hit, hit["rule"]["name"]).alias("name"), _param_names(_group(hit, hit["rule"]["params"])).alias("params"),
+        _none().alias("decorators"), _comma_list(_group(hit, hit["rule"]["bases"])).alias("bases"))
 
-    return _joined([F.transform(tx.located(text, r.spark_pattern), builder(r)).cast(IMPORT) for r in rules])
 
+def _import(hit) -> Column:
+    def build(groups):
+        return F.struct(
+            F.coalesce(F.try_element_at(groups, F.lit(-1)), F.lit("")).alias("source"),
+            F.when(F.size(groups) > 1, _comma_list(F.element_at(groups, 1))).otherwise(_none()).alias("specifiers"),
+            hit["line"].alias("line"))
 
-def _exports(text, rules: list) -> Column:
-    def builder(rule):
-        def build(hit):
-            names = F.transform(F.split(tx.anchored(hit["text"], rule.spark_pattern, 1), ","),
-                                lambda n: tx.strip(F.element_at(F.split(tx.strip(n), " as "), 1)))
-            return F.transform(F.filter(names, lambda n: n != ""),
-                               lambda n: F.struct(n.alias("name"), hit["line"].alias("line")))
+    return tx.let(F.filter(hit["groups"], lambda g: g != ""), build)
 
-        return build
 
-    return _joined([F.flatten(F.transform(tx.located(text, r.spark_pattern), builder(r))).cast(EXPORT) for r in rules])
+def _exports_of(hit) -> Column:
+    names = F.transform(F.split(F.element_at(hit["groups"], 1), ","),
+                        lambda n: tx.strip(F.element_at(F.split(tx.strip(n), " as "), 1)))
+    return F.transform(F.filter(names, lambda n: n != ""), lambda n: F.struct(n.alias("name"), hit["line"].alias("line")))
 
 
 def brace_end(lines, start) -> Column:
@@ -189,20 +202,16 @@ def _bracket_calls(col) -> Column:
     return inner
 
 
-def _python_found(masked, pattern: str, is_class: bool) -> Column:
-    def build(hit):
-        block, head = tx.anchored(hit["text"], pattern, 1), tx.anchored(hit["text"], pattern, 3)
-        line = hit["line"] + tx.newlines(block)
-        inner = tx.anchored(hit["text"], pattern, 5)
-        return F.struct(
-            F.lit(0).alias("rule"), F.length(tx.anchored(hit["text"], pattern, 2)).alias("indent"), line.alias("line"),
-            (line + tx.newlines(head)).alias("head_end"), tx.anchored(hit["text"], pattern, 4).alias("name"),
-            (_none() if is_class else _python_params(inner)).alias("params"),
-            _python_decorators(block, not is_class).alias("decorators"),
-            (_python_bases(inner) if is_class else _none()).alias("bases"))
-
-    # Outer statements come before nested ones.
-    return F.array_sort(F.transform(tx.located(masked, pattern), build).cast(FOUND))
+def _python_found(hit, at) -> Column:
+    block, head, inner = (F.element_at(hit["groups"], g) for g in (1, 3, 5))
+    is_class = hit["rule"]["family"] == "class"
+    line = hit["line"] + tx.newlines(block)
+    return F.struct(
+        hit["rule"]["family"].alias("family"), F.lit(0).alias("pos"), F.length(F.element_at(hit["groups"], 2)).alias("indent"),
+        line.alias("line"), at.alias("at"), (line + tx.newlines(head)).alias("head_end"), F.element_at(hit["groups"], 4).alias("name"),
+        F.when(is_class, _none()).otherwise(_python_params(inner)).alias("params"),
+        F.when(is_class, _python_decorators(block, False)).otherwise(_python_decorators(block, True)).alias("decorators"),
+        F.when(is_class, _python_bases(inner)).otherwise(_none()).alias("bases"))
 
 
 def python_end(indents, indent, head_end) -> Column:
@@ -214,101 +223,105 @@ def python_end(indents, indent, head_end) -> Column:
     return F.when(trailing > 0, head_end + F.size(body) - trailing + 1).otherwise(head_end).cast("int")
 
 
-def _python_imports(masked) -> Column:
-    def plain(hit):
-        items = _comma_list(F.replace(tx.anchored(hit["text"], _IMPORT, 2), F.lit("\\\n"), F.lit(" ")))
-        return F.transform(items, lambda p: F.struct(
-            F.length(tx.anchored(hit["text"], _IMPORT, 1)).alias("indent"), hit["line"].alias("line"),
-            F.regexp_extract(p, rx(r"\A([\w.]+)"), 1).alias("source"),
-            F.array(F.regexp_extract(p, rx(r"([\w.]+)\z"), 1)).alias("specifiers")))
-
-    def from_(hit):
-        names = F.regexp_replace(tx.anchored(hit["text"], _FROM, 3), r"[()]|\\\n", " ")
-        return F.array(F.struct(
-            F.length(tx.anchored(hit["text"], _FROM, 1)).alias("indent"), hit["line"].alias("line"),
-            F.regexp_replace(tx.anchored(hit["text"], _FROM, 2), r"\A\.+", "").alias("source"),
-            F.transform(_comma_list(names), lambda n: F.regexp_extract(n, rx(r"\A([\w*]+)"), 1)).alias("specifiers")))
-
-    found = F.concat(F.flatten(F.transform(tx.located(masked, _IMPORT), plain)),
-                     F.flatten(F.transform(tx.located(masked, _FROM), from_)))
-    return F.transform(F.array_sort(found), lambda i: F.struct(i["source"], i["specifiers"], i["line"])).cast(IMPORT)
+def _python_imports(hit) -> Column:
+    """One row per module of an ``import``, one per ``from``; outer statements first."""
+    indent, text = F.length(F.element_at(hit["groups"], 1)), F.element_at(hit["groups"], -1)
+    plain = F.transform(
+        _comma_list(F.replace(text, F.lit("\\\n"), F.lit(" "))),
+        lambda p: F.struct(indent.alias("indent"), hit["line"].alias("line"),
+                           F.regexp_extract(p, rx(r"\A([\w.]+)"), 1).alias("source"),
+                           F.array(F.regexp_extract(p, rx(r"([\w.]+)\z"), 1)).alias("specifiers")))
+    names = _comma_list(F.regexp_replace(text, r"[()]|\\\n", " "))
+    from_ = F.array(F.struct(indent.alias("indent"), hit["line"].alias("line"),
+                             F.regexp_replace(F.element_at(hit["groups"], 2), r"\A\.+", "").alias("source"),
+                             F.transform(names, lambda n: F.regexp_extract(n, rx(r"\A([\w*]+)"), 1)).alias("specifiers")))
+    return F.when(hit["rule"]["pos"] == 0, plain).otherwise(from_)
 
 
 # ---- the job ---------------------------------------------------------------
 
 
-def extracted(files: DataFrame, extra_functions: dict = None, extra_classes: dict = None) -> DataFrame:
+def extracted(files: DataFrame, extra_rules: dict = None) -> DataFrame:
     """Add ``symbols``, ``imports``, ``exports`` and ``call_tokens`` arrays to code files.
 
-    ``extra_functions`` / ``extra_classes`` add rule lists for languages without rules.
+    ``extra_rules`` adds rule rows, also for languages that have none.
     """
-    lang, code = F.col("language"), F.col("_code")
-    functions = {**ex.FUNCTION_RULES, **(extra_functions or {})}
-    classes = {**ex.CLASS_RULES, **(extra_classes or {})}
-
-    found_f = {"python": _python_found(code, _DEF, False), **{l: _rule_matches(code, r) for l, r in functions.items()}}
-    found_c = {"python": _python_found(code, _CLASS, True), **{l: _rule_matches(code, r) for l, r in classes.items()}}
-    imports = {"python": _python_imports(code), **{l: _imports(code, r) for l, r in ex.IMPORT_RULES.items()}}
-    exports = {l: _exports(code, r) for l, r in ex.EXPORT_RULES.items()}
-
-    step1 = (
-        files.where(lang.isin(scan.CODE_LANGUAGES))
-        .withColumn("_code", F.when(lang == "python", masked_python(F.col("content"))).otherwise(F.col("content")))
-    )
-    step2 = step1.select(
+    lang, code, hits = F.col("language"), F.col("_code"), F.col("_hits")
+    python = lang == "python"
+
+    def family(name):
+        return F.filter(hits, lambda h: h["rule"]["family"] == name)
+
+    step1 = files.where(lang.isin(scan.CODE_LANGUAGES)).withColumn(
+        "_code", F.when(python, masked_python(F.col("content"))).otherwise(F.col("content")))
+    step2 = step1.select("*", rule_hits(code, lang, extra_rules).alias("_hits"), tx.lines_of(code).alias("_lines"),
+                         F.array_distinct(tx.all_of(F.col("content"), ex.CALL_TOKEN, 1)).alias("call_tokens"))
+
+    symbol_hits = F.filter(hits, lambda h: h["rule"]["family"].isin("function", "class"))
+    step3 = step2.select(
         "*",
-        F.filter(_by_language(lang, found_f, FOUND),
-                 lambda f: (f["name"] != "") & ((lang == "python") | ~f["name"].isin(ex.CONTROL_WORDS))).alias("_functions"),
-        _by_language(lang, found_c, FOUND).alias("_classes"),
-        _by_language(lang, imports, IMPORT).alias("imports"),
-        _by_language(lang, exports, EXPORT).alias("exports"),
-        F.array_distinct(tx.all_of(F.col("content"), ex.CALL_TOKEN, 1)).alias("call_tokens"),
-        tx.lines_of(code).alias("_lines"),
+        # By family, rule, then position; python orders outer definitions before nested ones.
+        F.array_sort(F.transform(symbol_hits, lambda h, at: F.when(python, _python_found(h, at)).otherwise(_found(h, at))).cast(FOUND)).alias("_found"),
+        F.when(python, F.transform(F.array_sort(F.flatten(F.transform(family("import"), _python_imports))),
+                                   lambda i: F.struct(i["source"], i["specifiers"], i["line"])).cast(IMPORT))
+        .otherwise(F.transform(family("import"), _import).cast(IMPORT)).alias("imports"),
+        F.flatten(F.transform(family("export"), _exports_of)).cast(EXPORT).alias("exports"),
+        F.when(lang.isin("python", "ruby"), indents_of(F.col("_lines"))).alias("_indents"),
     )
-    step3 = step2.withColumn("_indents", F.when(lang.isin("python", "ruby"), indents_of(F.col("_lines"))))
+    functions = F.filter("_found", lambda f: (f["family"] == "function") & (f["name"] != "")
+                         & (python | ~f["name"].isin(ex.CONTROL_WORDS)))
+    step4 = step3.select("*", functions.alias("_functions"), F.filter("_found", lambda f: f["family"] == "class").alias("_classes"))
+
+    def symbol(f):
+        end = (F.when(python, python_end(F.col("_indents"), f["indent"], f["head_end"]))
+               .when(lang == "ruby", indent_end(F.col("_indents"), f["line"]))
+               .otherwise(brace_end(F.col("_lines"), f["line"]))).cast("int")
+        methods = F.when(python & (f["family"] == "class"), _direct_methods(f, end)).otherwise(_none())
+        return F.struct(f["family"].alias("kind"), f["name"], f["line"], end, f["params"], f["decorators"], f["bases"], methods)
+
+    kept = [c for c in files.columns] + ["imports", "exports", "call_tokens"]
+    return step4.select(*kept, F.transform(F.concat("_functions", "_classes"), symbol).cast(SYMBOL).alias("symbols"))
+
+
+def _direct_methods(cls, end) -> Column:
+    """Functions in a python class whose indent is that of the first line of its body."""
+    body = F.filter(F.slice(F.col("_indents"), cls["head_end"] + 1, F.size("_indents")), lambda i: i >= 0)
 
-    def end_of(f):
-        return (F.when(lang == "python", python_end(F.col("_indents"), f["indent"], f["head_end"]))
-                .when(lang == "ruby", indent_end(F.col("_indents"), f["line"]))
-                .otherwise(brace_end(F.col("_lines"), f["line"]))).cast("int")
+    def inside(bounds):
+        picked = F.filter("_functions", lambda f: (f["line"] > cls["line"]) & (f["line"] <= bounds["end"]) & (f["indent"] == bounds["indent"]))
+        return F.transform(F.array_sort(F.transform(picked, lambda f: F.struct(f["line"], f["name"]))), lambda s: s["name"])
 
-    def function(f):
-        return F.struct(F.lit("function").alias("kind"), f["name"], f["line"], end_of(f), f["params"], f["decorators"], f["bases"], _none())
+    return tx.let(F.struct(end.alias("end"), F.try_element_at(body, F.lit(1)).alias("indent")), inside)
 
-    def class_(c):
-        end = end_of(c)
-        first = F.try_element_at(F.filter(F.slice(F.col("_indents"), c["head_end"] + 1, F.size("_indents")), lambda i: i >= 0), F.lit(1))
-        inside = F.filter(F.col("_functions"), lambda f: (f["line"] > c["line"]) & (f["line"] <= end) & (f["indent"] == first))
-        methods = F.when(lang == "python", F.transform(F.array_sort(F.transform(inside, lambda f: F.struct(f["line"], f["name"]))), lambda s: s["name"])).otherwise(_none())
-        return F.struct(F.lit("class").alias("kind"), c["name"], c["line"], end, c["params"], c["decorators"], c["bases"], methods)
 
-    step4 = step3.withColumn("symbols", F.concat(
-        F.transform("_functions", function).cast(SYMBOL), F.transform("_classes", class_).cast(SYMBOL)))
-    return step4.drop("_code", "_functions", "_classes", "_lines", "_indents")
+def rows_of(df: DataFrame, array: str, pos: str, item: str, *keep) -> DataFrame:
+    """One row per array element. The outer form is used on purpose: for the plain one
+    the optimizer infers a filter on the array size and computes the array twice."""
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
 
 
 def symbols(ext: DataFrame) -> DataFrame:
     """Symbol rows; ``seq`` is the order of definition within the file."""
-    return ext.select("repo_id", "path", "language", F.posexplode("symbols").alias("seq", "s")).select(
+    return rows_of(ext, "symbols", "seq", "s", "repo_id", "path", "language").select(
         "repo_id", "path", "language", "s.kind", "seq", "s.name", "s.line_start", "s.line_end",
         "s.params", "s.decorators", "s.bases", "s.methods")
 
 
 def imports(ext: DataFrame) -> DataFrame:
-    return ext.select("repo_id", "path", F.posexplode("imports").alias("seq", "i")).select(
+    return rows_of(ext, "imports", "seq", "i", "repo_id", "path").select(
         "repo_id", "path", "seq", "i.source", "i.specifiers", "i.line")
 
 
 def exports(ext: DataFrame) -> DataFrame:
-    return ext.select("repo_id", "path", F.posexplode("exports").alias("seq", "e")).select(
+    return rows_of(ext, "exports", "seq", "e", "repo_id", "path").select(
         "repo_id", "path", "seq", "e.name", "e.line")
 
 
 def call_sites(files: DataFrame) -> DataFrame:
     """Distinct identifiers directly before ``(`` per code file."""
     tokens = F.array_distinct(tx.all_of(F.col("content"), ex.CALL_TOKEN, 1))
-    return files.where(F.col("language").isin(scan.CODE_LANGUAGES)).select(
-        "repo_id", "path", F.explode(tokens).alias("token"))
+    code = files.where(F.col("language").isin(scan.CODE_LANGUAGES)).select("repo_id", "path", tokens.alias("_tokens"))
+    return rows_of(code, "_tokens", "_pos", "token", "repo_id", "path").drop("_pos")
 
 
 def line_count(content) -> Column:

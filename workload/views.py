@@ -32,10 +32,10 @@ def _lines(*lines):
 
 
 _PY = _lines("import f<k+13>", "", "def fn_<k>(self, a, b):", "    if a:", "        repo.save(a)",
-             "    return fn_<k+5>(b)", "", "class C<k>(C<k-1>):", "    def go_<k>(self):", "        return fn_<k+9>(1)")
+             "    return fn_<k+5>(b)", "", "class C<k>(C<k+1>):", "    def go_<k>(self):", "        return fn_<k+9>(1)")
 _JS = _lines("import { x } from './f<k+13>'", "export function fn_<k>(a, b) {", "  if (a) { axios.post(a) }",
-             "  return fn_<k+5>(b)", "}", "export class C<k> extends C<k-1> {", "  x() { return 1 }", "}")
-_PHP = _lines("<?php", "use App\\f<k+13>;", "class C<k> extends C<k-1> {", "  public function fn_<k>($a, $b) {",
+             "  return fn_<k+5>(b)", "}", "export class C<k> extends C<k+1> {", "  x() { return 1 }", "}")
+_PHP = _lines("<?php", "use App\\f<k+13>;", "class C<k> extends C<k+1> {", "  public function fn_<k>($a, $b) {",
               "    if ($a) { Order::create($a); }", "    return fn_<k+5>($b);", "  }", "}")
 _GO = _lines("package m", "import \"stripe/f<k+13>\"", "type C<k> struct {", "}", "func fn_<k>(a int, b int) int {",
              "  if a > 0 {", "    return fn_<k+5>(b)", "  }", "  return 0", "}")
@@ -212,6 +212,10 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A given table, or a view over given tables."""
     if name in TABLES:
         return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    if name == "code_files":
+        # One small input file is one task; a real corpus arrives in many splits.
+        orders = view(spark, sf, "orders").repartition(spark.sparkContext.defaultParallelism)
+        return spark.sql(SHARED[name], orders=orders)
     text = SHARED[name]
     inputs = {n: view(spark, sf, n) for n in refs(text, set(TABLES) | set(SHARED))}
     return spark.sql(text, **inputs)
