@@ -241,10 +241,11 @@ def _python_imports(hit) -> Column:
 # ---- the job ---------------------------------------------------------------
 
 
-def extracted(files: DataFrame, extra_rules: dict = None) -> DataFrame:
+def extracted(files: DataFrame, extra_rules: dict = None, keep_others: bool = False) -> DataFrame:
     """Add ``symbols``, ``imports``, ``exports`` and ``call_tokens`` arrays to code files.
 
-    ``extra_rules`` adds rule rows, also for languages that have none.
+    ``extra_rules`` adds rule rows, also for languages that have none. ``keep_others``
+    keeps files of other languages, with empty arrays.
     """
     lang, code, hits = F.col("language"), F.col("_code"), F.col("_hits")
     python = lang == "python"
@@ -252,10 +253,12 @@ def extracted(files: DataFrame, extra_rules: dict = None) -> DataFrame:
     def family(name):
         return F.filter(hits, lambda h: h["rule"]["family"] == name)
 
-    step1 = files.where(lang.isin(scan.CODE_LANGUAGES)).withColumn(
+    is_code = lang.isin(scan.CODE_LANGUAGES)
+    step1 = (files if keep_others else files.where(is_code)).withColumn(
         "_code", F.when(python, masked_python(F.col("content"))).otherwise(F.col("content")))
     step2 = step1.select("*", rule_hits(code, lang, extra_rules).alias("_hits"), tx.lines_of(code).alias("_lines"),
-                         F.array_distinct(tx.all_of(F.col("content"), ex.CALL_TOKEN, 1)).alias("call_tokens"))
+                         F.when(is_code, F.array_distinct(tx.all_of(F.col("content"), ex.CALL_TOKEN, 1)))
+                         .otherwise(_none()).alias("call_tokens"))
 
     symbol_hits = F.filter(hits, lambda h: h["rule"]["family"].isin("function", "class"))
     step3 = step2.select(

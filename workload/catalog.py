@@ -4,7 +4,7 @@ import functools
 
 from corpusgraph.functions.tables import tune
 
-from . import q_scan, q_extract  # noqa: F401
+from . import q_scan, q_extract, q_tags  # noqa: F401
 from .registry import QUERIES, twins  # noqa: F401
 
 
