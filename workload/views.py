@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusgraph.functions.tables import tune
+from corpusgraph.functions.tables import written
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -258,3 +258,14 @@ def out(df: DataFrame) -> DataFrame:
             c = F.array_join(c, "|")
         cols.append(c.alias(f.name))
     return df.select(*cols)
+
+
+_STORED = {}
+
+
+def stored(spark, sf, name, build):
+    """A derived table written once per session, as a real graph would be stored."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = written(build(), name)
+    return _STORED[key]
