@@ -242,21 +242,15 @@ def chains(entries: DataFrame, nodes: DataFrame, edges: DataFrame, max_nodes: in
            branches: int = 3) -> DataFrame:
     """Limited call chain per entry: rows ``(repo_id, entry, step, id)``.
 
-    Neighbourhoods are gathered by joins; with at most three branches and six levels one
+    Neighbourhoods are gathered by one chain of joins over the entries' paths; with at most three branches and six levels one
     entry sees at most 1,092 edges, so the ordered walk of one entry is a bounded group.
     """
-    allowed = branch_edges(nodes, edges, branches)
-    allowed = written(allowed, "branches")
+    allowed = written(branch_edges(nodes, edges, branches), "branches")
+    paths = entries.select("repo_id", F.col("id").alias("entry"), F.col("id").alias("n0")).distinct()
     depth = min(max_depth, max_nodes - 1)
-    start = entries.select("repo_id", F.col("id").alias("entry"), F.col("id").alias("src")).distinct()
-    seen, frontier, gathered = start, start, None
-    for _ in range(depth):
-        step = written(frontier.join(allowed, ["repo_id", "src"]).select("repo_id", "entry", "src", "dst", "rank"), "chain")
-        gathered = step if gathered is None else gathered.unionByName(step)
-        if step.isEmpty():
-            break
-        frontier = step.select("repo_id", "entry", F.col("dst").alias("src")).distinct().join(seen, ["repo_id", "entry", "src"], "left_anti")
-        seen = seen.unionByName(frontier)
-    lone = start.select("repo_id", "entry", "src", F.lit(None).cast("string").alias("dst"), F.lit(0).alias("rank"))
-    return gathered.unionByName(lone).groupBy("repo_id", "entry").applyInPandas(
-        _walk(max_nodes, max_depth), "repo_id string, entry string, step int, id string")
+    for k in range(1, depth + 1):
+        step = allowed.select("repo_id", F.col("src").alias(f"n{k - 1}"), F.col("dst").alias(f"n{k}"), F.col("rank").alias(f"r{k}"))
+        paths = paths.join(step, ["repo_id", f"n{k - 1}"], "left")
+    hops = F.array(*[F.struct(F.col(f"n{k - 1}").alias("src"), F.col(f"n{k}").alias("dst"), F.col(f"r{k}").alias("rank")) for k in range(1, depth + 1)])
+    seen = paths.select("repo_id", "entry", F.explode(hops).alias("h")).select("repo_id", "entry", "h.src", "h.dst", "h.rank").distinct()
+    return seen.groupBy("repo_id", "entry").applyInPandas(_walk(max_nodes, max_depth), "repo_id string, entry string, step int, id string")
