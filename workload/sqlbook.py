@@ -30,4 +30,7 @@ def sql(text: str) -> str:
         return t
 
     ctes = [f"v_{n} AS ({fill(BOOK[n])})" for n in order]
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + fill(text)
+    body = fill(text).strip()
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[len("WITH RECURSIVE "):]
+    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
