@@ -59,7 +59,7 @@ def _states(files_cap, nodes_cap):
 
 
 def _transition(files_cap, nodes_cap):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         start = _states(files_cap, nodes_cap)
         files, nodes, closed = start[:, 0].copy(), start[:, 1].copy(), np.zeros(len(start), dtype=np.int64)
         for n in pdf.sort_values("first")["n"].to_numpy():
@@ -172,7 +172,7 @@ def blocks_text(rows: DataFrame, context: DataFrame = None) -> DataFrame:
     """The text block of each row; ``item`` numbers the block within its prompt."""
     attr = lambda name, col: F.when(col != "", F.concat(F.lit(f' {name}="'), col, F.lit('"'))).otherwise(F.lit(""))
     start, end = F.col("line_range.start"), F.col("line_range.end")
-    effects = F.transform("semantics.side_effects", lambda e: F.concat(e["type"], F.lit(" ("), F.format_number(e["confidence"], "0.0"), F.lit(")")))
+    effects = F.transform("semantics.side_effects", lambda e: F.concat(e["type"], F.lit(" ("), F.format_string("%.1f", e["confidence"]), F.lit(")")))
     withc = rows.join(context, NODE, "left") if context is not None else rows.withColumn("context", F.lit(None).cast("string"))
     head = F.concat(F.lit('<FUNC id="f'), F.col("item").cast("string"), F.lit('" file="'), paths.file_name(F.col("file_path")), F.lit('"'),
                     attr("domain", tv.domain_of()), attr("role", tv.role_of()), F.lit(">"))

@@ -4,7 +4,7 @@ import functools
 
 from corpusgraph.functions.tables import tune
 
-from . import q_batches, q_export, q_extract, q_graph, q_refresh, q_reports, q_scan, q_tags  # noqa: F401
+from . import q_batches, q_export, q_extract, q_graph, q_inventory, q_refresh, q_reports, q_scan, q_tags  # noqa: F401
 from .registry import QUERIES, twins  # noqa: F401
 
 
