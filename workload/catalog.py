@@ -2,9 +2,13 @@
 
 import functools
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from corpusgraph.functions.ordered import first_rows
 from corpusgraph.functions.tables import tune
 
-from . import q_batches, q_export, q_extract, q_graph, q_inventory, q_refresh, q_reports, q_scan, q_tags  # noqa: F401
+from . import (q_batches, q_export, q_extract, q_graph, q_inventory, q_refresh, q_reports,  # noqa: F401
+               q_scan, q_tags)
 from .registry import QUERIES, twins  # noqa: F401
 
 
@@ -17,3 +21,9 @@ def _tuned(fn):
 
 def queries():
     return {name: _tuned(fn) for name, fn in QUERIES.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten most called functions of each repository: scan, extract, resolve calls, rank."""
+    called = q_graph.most_called(tune(spark), sf_dir)
+    return first_rows(called, ["repo_id"], [F.desc("callers"), F.col("function")], 10)

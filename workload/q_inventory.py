@@ -19,12 +19,12 @@ def manifests(spark, sf):
 
 
 define("man", f"""
-SELECT repo_id, folder, file_name, max(content) AS content FROM (SELECT *, string_split(path, '/')[-1] AS file_name, CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '' END AS folder FROM {{manifests}}) m
+SELECT repo_id, folder, file_name, max(content) AS content, CASE WHEN starts_with(max(content), '{{') THEN max(content) ELSE '{{}}' END AS jc FROM (SELECT *, string_split(path, '/')[-1] AS file_name, CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '' END AS folder FROM {{manifests}}) m
 WHERE len(string_split(path, '/')) <= 2 AND NOT starts_with(folder, '.') AND folder NOT IN ('vendor', 'node_modules', '.git') GROUP BY ALL""")
 
 
 def _j(path):
-    return f"json_extract_string(content, '{path}')"
+    return f"json_extract_string(jc, '{path}')"
 
 
 def _cand(kind, where, section, name, value, last=True, sub=0):
@@ -42,7 +42,7 @@ _rows += [_cand("ruby", "Gemfile", "frameworks", fw, f"CASE WHEN regexp_matches(
 _rows += [_cand("docker", "Dockerfile", "runtime", "docker_base", "list_filter(regexp_extract_all(content, 'FROM\\s+([^\\s]+)', 1), lambda x: NOT starts_with(x, '$'))[1]", last=False)]
 define("cands", "SELECT * FROM (" + "\nUNION ALL ".join(_rows) + """
 UNION ALL SELECT c.repo_id, c.folder, 'php', 'runtime', 'php', regexp_replace(nullif(regexp_extract(d.content, '(?i)php(\\d+)[.\\-]', 1), ''), '^(\\d)(\\d+)$', '\\1.\\2'), false, 0
-  FROM {man} c JOIN {man} d ON d.repo_id = c.repo_id AND d.folder = c.folder AND d.file_name = 'Dockerfile' WHERE c.file_name = 'composer.json' AND json_extract_string(c.content, '$.require.php') IS NULL) x WHERE version IS NOT NULL""")
+  FROM {man} c JOIN {man} d ON d.repo_id = c.repo_id AND d.folder = c.folder AND d.file_name = 'Dockerfile' WHERE c.file_name = 'composer.json' AND json_extract_string(c.jc, '$.require.php') IS NULL) x WHERE version IS NOT NULL""")
 define("settled", """
 SELECT repo_id, section, name, coalesce(arg_max(version, folder || sub) FILTER (last), arg_min(version, folder) FILTER (NOT last)) AS version, min(kind) AS kind FROM {cands} GROUP BY repo_id, section, name""")
 
@@ -63,10 +63,10 @@ _versions("l6_docker", "docker")
 
 _ENTRY = "list_transform({0}, lambda e: concat(e.name, '=', e.version))"
 define("packs", """
-SELECT repo_id, folder, 'composer' AS manager, len(ks)::BIGINT AS count, array_to_string(list_transform(ks[1:15], lambda k: concat(k, '=', coalesce(json_extract_string(content, concat('$."require-dev"."', k, '"')), json_extract_string(content, concat('$.require."', k, '"'))))), ',') AS key
-FROM (SELECT *, list_filter(list_concat(json_keys(content, '$.require'), json_keys(content, '$."require-dev"')), lambda k: k <> 'php' AND NOT starts_with(k, 'ext-')) AS ks FROM {man} WHERE file_name = 'composer.json') a
-UNION ALL SELECT repo_id, folder, 'npm', (len(json_keys(content, '$.dependencies')) + len(json_keys(content, '$.devDependencies')))::BIGINT,
-  array_to_string(list_transform(json_keys(content, '$.dependencies')[1:10], lambda k: concat(k, '=', json_extract_string(content, concat('$.dependencies."', k, '"')))), ',') FROM {man} WHERE file_name = 'package.json'
+SELECT repo_id, folder, 'composer' AS manager, len(ks)::BIGINT AS count, array_to_string(list_transform(ks[1:15], lambda k: concat(k, '=', coalesce(json_extract_string(jc, concat('$."require-dev"."', k, '"')), json_extract_string(jc, concat('$.require."', k, '"'))))), ',') AS key
+FROM (SELECT *, list_filter(list_concat(json_keys(jc, '$.require'), json_keys(jc, '$."require-dev"')), lambda k: k <> 'php' AND NOT starts_with(k, 'ext-')) AS ks FROM {man} WHERE file_name = 'composer.json') a
+UNION ALL SELECT repo_id, folder, 'npm', (len(json_keys(jc, '$.dependencies')) + len(json_keys(jc, '$.devDependencies')))::BIGINT,
+  array_to_string(list_transform(json_keys(jc, '$.dependencies')[1:10], lambda k: concat(k, '=', json_extract_string(jc, concat('$.dependencies."', k, '"')))), ',') FROM {man} WHERE file_name = 'package.json'
 UNION ALL SELECT repo_id, folder, 'pip', len(ls)::BIGINT, array_to_string(list_transform(ls[1:15], lambda l: concat(regexp_extract(l, '^([^=<>!~]*)', 1), '=', CASE WHEN regexp_matches(l, '[=<>!~]') THEN trim(l[length(regexp_extract(l, '^([^=<>!~]*)', 1)) + 1:], '=<>!~ ') ELSE '*' END)), ',')
   FROM (SELECT *, list_filter(string_split(content, chr(10)), lambda l: trim(l) <> '' AND NOT starts_with(l, '#')) AS ls FROM {man} WHERE file_name = 'requirements.txt') b
 UNION ALL SELECT repo_id, folder, 'go', len(ms)::BIGINT, array_to_string(list_transform(ms[1:10], lambda m: regexp_replace(m, '^\\t([\\w./\\-]+)\\s+(v[\\d.]+)$', '\\1=\\2')), ',') FROM (SELECT *, regexp_extract_all(content, '(?m)^\\t([\\w./\\-]+)\\s+(v[\\d.]+)') AS ms FROM {man} WHERE file_name = 'go.mod') c
