@@ -37,6 +37,20 @@ HINTS = {
     "typescript_types": r"(?:type\s+\w+\s*<|interface\s+\w+\s*<|extends\s+.*\?.*:|infer\s+\w+|keyof\s+)",
 }
 
+# Lower-case words of which a text must hold at least one before its hint can match.
+HINT_WORDS = {
+    "django": ["django", "models.model", "views.view"],
+    "express": ["express", "app.listen"],
+    "laravel": ["illuminate", "namespace app", "eloquent", "artisan"],
+    "php5": ["mysql_", "ereg(", "create_function", "global"],
+    "rails": ["application", "activerecord", "actioncontroller"],
+    "react": ["react", "usestate", "useeffect", "jsx"],
+    "spring": ["@controller", "@service", "@repository", "springboot", "springframework"],
+    "stimulus": ["controller", "targets"],
+    "symfony": ["symfony", "bundle", "doctrine", "extends"],
+    "typescript_types": ["type", "interface", "extends", "infer", "keyof"],
+}
+
 FRAMEWORKS = {
     "django": [
         (r"class\s+\w+\(.*(?:View|ModelAdmin|Serializer|Form|Model)\)", 0.5),
