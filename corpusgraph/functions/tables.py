@@ -38,9 +38,11 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
 
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings the jobs rely on: re-planning and splitting of skewed joins,
-    also where the split costs one more exchange."""
+    also where the split costs one more exchange; and no fused stage method that is too
+    large for the JIT compiler (the rule projections are long)."""
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark

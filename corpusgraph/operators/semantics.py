@@ -68,13 +68,11 @@ def domain_scores(name, path, content) -> dict:
     }
 
 
-def domain_from(scores: dict) -> Column:
-    """Best family with at least one full point; the first one on ties."""
-    best = F.greatest(*scores.values())
-    col = F.when(best < 10, F.lit(""))
-    for domain, score in scores.items():
-        col = col.when(score == best, F.lit(domain))
-    return col
+def domain_from(scores) -> Column:
+    """Best family of a score array with at least one full point; the first one on ties."""
+    best = F.array_max(scores)
+    place = F.array_position(scores, best).cast("int")
+    return F.when(best < 10, F.lit("")).otherwise(F.element_at(lit_array(list(sm.DOMAIN_KEYWORDS)), place))
 
 
 def role_of(name, path) -> Column:
@@ -85,8 +83,8 @@ def role_of(name, path) -> Column:
 def with_domain(df: DataFrame, name: str, path: str, text: str, out: str = "domain_hint") -> DataFrame:
     """Scores live in their own projection so each is computed once."""
     scores = domain_scores(F.col(name), F.col(path), F.col(text))
-    staged = df.withColumn("_scores", F.struct(*[s.alias(d) for d, s in scores.items()]))
-    return staged.withColumn(out, domain_from({d: F.col(f"_scores.{d}") for d in scores})).drop("_scores")
+    staged = df.withColumn("_scores", F.array(*scores.values()))
+    return staged.withColumn(out, domain_from(F.col("_scores"))).drop("_scores")
 
 
 def file_semantics(ext: DataFrame) -> DataFrame:
