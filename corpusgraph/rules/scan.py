@@ -4,7 +4,7 @@
 IGNORED_NAMES = [
     "node_modules", ".git", "__pycache__", ".venv", "venv", "env",
     "dist", "build", "out", ".cache", "target", ".next", ".nuxt",
-    ".codemap-output", "steercode", ".idea", ".vs",
+    ".idea", ".vs",
     "vendor", "Pods", ".gradle", "coverage",
     ".tox", ".mypy_cache", ".pytest_cache",
     "storage", "tmp", "temp", "logs",

@@ -242,7 +242,7 @@ def f7(spark, sf):
     sup = view(spark, sf, "supplier").where("s_suppkey % 20 = 0")
     s = F.lit("star").alias("repo_id")
     pairs = sup.select(F.concat(F.lit("p"), "s_suppkey").alias("pair"), s, F.concat(F.lit("C"), F.col("s_suppkey") % 7).alias("src"), F.concat(F.lit("S"), "s_suppkey").alias("dst"))
-    extra = view(spark, sf, "region").limit(1).select(F.explode(F.array(
+    extra = view(spark, sf, "region").where("r_regionkey = 0").select(F.explode(F.array(
         F.struct(F.lit("self").alias("pair"), s, F.lit("C3").alias("src"), F.lit("C3").alias("dst")),
         F.struct(F.lit("none").alias("pair"), s, F.lit("C3").alias("src"), F.lit("N1").alias("dst")))).alias("x")).select("x.*")
     return out(tv.shortest_paths(pairs.unionByName(extra), edges(spark, sf), max_depth=6).drop("repo_id"))
