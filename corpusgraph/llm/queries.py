@@ -1,6 +1,8 @@
 """Registered queries: each operator over its whole table."""
 
-from . import minhash
+from pyspark.sql import functions as F
+
+from . import labelled, minhash, quality, toxicity
 from .registry import QUERIES, TWINS, query
 
 
@@ -8,6 +10,26 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_quality")
+def op1(spark, sf_dir):
+    """Quality score of every document; labels of fold 2 of 4 are held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = labelled.fold("doc_id", 4) == 2
+    model = quality.train(docs, labels.where(~out))
+    return quality.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    """Toxicity score of every document; labels of fold 0 of 5 are held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = labelled.fold("doc_id", 5) == 0
+    model = toxicity.train(docs, labels.where(~out))
+    return toxicity.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 @query("op2_minhash_dedup")
 def op2(spark, sf_dir):
     """One row per document: its near-duplicate class."""
