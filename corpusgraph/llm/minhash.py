@@ -5,8 +5,8 @@
 3. ``BANDS x ROWS`` consistent weighted samples per content (Ioffe's scheme: two contents draw the
    same sample with a probability equal to their weighted Jaccard similarity).
 4. Contents that share a band meet in a bucket. Each is first compared with the bucket's smallest
-   content; what that does not join is then compared across, until no bucket holds two components
-   with an untested pair. No bucket has a cap, and a group of copies costs one comparison a copy.
+   content, so a group of close copies costs one comparison a copy. Buckets that still hold two
+   components are compared in full, in blocks (``blocks.tiled``) that emit no pairs. No bucket has a cap.
 5. Every compared pair is verified by exact weighted Jaccard similarity on whole texts.
 
 A pair at similarity s meets in a band with probability 1 - (1 - s**ROWS)**BANDS: 0.9998 at 0.8.
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpusgraph.functions.tables import written
 
 from . import sketch
+from .blocks import groups, stars, tiled
 from .components import components
 from .text import U64, gram_starts, grams, mix, sequence_hash, small, strings, words
 
@@ -174,6 +175,55 @@ def verified(pairs: DataFrame, texts: DataFrame, total: int, counts, threshold:
     return both.mapInArrow(check, "u binary, v binary, similarity double")
 
 
+def compared(rows: DataFrame, texts: DataFrame, total: int, counts, threshold: float) -> DataFrame:
+    """Links (u, v) within each block (bucket, lo, hi) of ``rows`` (v, root, tile), as stars.
+
+    All contents of a block are compared at once: with a column for each k-th occurrence of a shingle
+    that two of them have, the common weight of all pairs is one matrix product. Only links between
+    different ``root``s are of interest; no pairs are emitted but a spanning star of each component.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+    keys = ["bucket", "lo", "hi"]
+
+    def links(texts, roots, tiles, across):
+        of, shingle, tf, _, _ = shingles(strings(texts))
+        weight = sketch.idf(shingle, total, shared.value)
+        sums = np.bincount(of, weight * tf, minlength=len(texts))
+        level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+        of, weight = np.repeat(of, tf), np.repeat(weight, tf)
+        column = mix(np.repeat(shingle, tf) + (level.astype(U64) << U64(_KEY_BITS)))
+        _, first, place, times = np.unique(column, return_index=True, return_inverse=True, return_counts=True)
+        common = np.flatnonzero(times > 1)
+        number = np.full(len(times), -1)
+        number[common] = np.arange(len(common))
+        place, root_weight = number[place], np.sqrt(weight[first[common]])
+        both = np.zeros((len(texts), len(texts)))
+        for begin in range(0, len(common), 2048):
+            some = (place >= begin) & (place < begin + 2048)
+            x = np.zeros((len(texts), min(2048, len(common) - begin)))
+            x[of[some], place[some] - begin] = root_weight[place[some]]
+            both += x @ x.T
+        near = both >= threshold * (sums[:, None] + sums[None, :] - both)
+        near &= (sums > 0)[:, None] & (roots[:, None] != roots[None, :])
+        if across:
+            near &= tiles[:, None] != tiles[None, :]
+        return stars(near)
+
+    def check(batches):
+        for table, cuts in groups(batches, keys):
+            v = table.column("v").to_pylist()
+            roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+            tiles = table.column("tile").to_numpy()
+            split = table.column("lo").to_numpy() != table.column("hi").to_numpy()
+            texts = table.column("text")
+            pairs = [(v[a + i], v[a + j]) for a, b in zip(cuts, cuts[1:])
+                     for i, j in links(pa.concat_arrays(texts.slice(a, b - a).chunks), roots[a:b], tiles[a:b], split[a])]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], schema=schema)
+    full = rows.join(texts.withColumnRenamed("content", "v"), "v").select(*keys, "v", "root", "tile", "text")
+    return full.repartition(*keys).sortWithinPartitions(*keys, "v").mapInArrow(check, "u binary, v binary")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> one row for each: doc_id, content, class_id, kept.
 
@@ -202,12 +252,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     placed = members.join(found.withColumnsRenamed({"node": "v"}), "v", "left").select(
         "bucket", "v", F.coalesce("root", "v").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
-    open_ = written(placed.join(mixed, "bucket"), "open")
-    across = (open_.alias("p").join(open_.alias("q"), "bucket").where("p.v < q.v and p.root != q.root")
-              .select(F.col("p.v").alias("u"), F.col("q.v").alias("v")).distinct()
-              .join(tried, ["u", "v"], "left_anti"))
-    more = written(verified(across, texts, total, counts, threshold).select("u", "v"), "links")
+    mixed = (placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("set"))
+             .where("a != b").groupBy("set", "n").agg(F.min("bucket").alias("bucket")))
+    mixed = written(mixed.select("bucket", "n"), "mixed")
+    more = written(compared(tiled(placed.join(mixed.select("bucket"), "bucket"), mixed, "bucket", "v"), texts, total, counts, threshold), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
