@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions.tables import written
 
-from . import chat, labelled, minhash, quality, records, toxicity, urls, vectors
+from . import chat, labelled, minhash, mixing, quality, records, settings, suffixes, templates, toxicity, urls, vectors
 from .registry import QUERIES, TWINS, query
 
 
@@ -22,6 +22,13 @@ def op1(spark, sf_dir):
         "doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+@query("op3_mixing")
+def op3(spark, sf_dir):
+    """Weight, probability and decision of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, mixing.described(docs), settings.MIX, settings.KEEP)
+
+
 @query("op4_toxicity")
 def op4(spark, sf_dir):
     """Toxicity score of every document; labels of fold 0 of 5 are held out."""
@@ -38,16 +45,22 @@ def op2(spark, sf_dir):
     return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
-def word_bpe() -> str:
-    """Path of the tokenizer file (installed on every machine)."""
-    import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op5_token_records")
 def op5(spark, sf_dir):
     """Ids of every document, read back from the record files."""
-    return records.read(written(records.write(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe()), "index"))
+    return records.read(written(records.write(table(spark, sf_dir, "documents").select("doc_id", "text"), settings.word_bpe()), "index"))
+
+
+@query("op6_decontamination")
+def op6(spark, sf_dir):
+    """Documents that hold a benchmark item, also with other numbers or names."""
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+@query("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    """Passages of 50 words or more that documents share."""
+    return suffixes.repeated(table(spark, sf_dir, "documents"))
 
 
 @query("op8_vector_dedup")
@@ -110,6 +123,13 @@ def op10(spark, sf_dir):
     return chat.digests(written(chat.formatted(turns.unionByName(one)), "chats")).drop("error")
 
 
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    """The stages of ``corpus_pipeline`` one after the other."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
