@@ -6,7 +6,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: Rows of a bucket that meet in one block, about; larger buckets become pairs of tiles.
-TILE = 512
+TILE = 256
 
 
 def tiled(rows: DataFrame, sizes: DataFrame, bucket: str, member: str) -> DataFrame:
