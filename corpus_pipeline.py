@@ -10,9 +10,10 @@ from corpusgraph.llm.registry import ready
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the cut."""
     ready(spark)
+    plain, restored = labelled.shielded(docs, ["doc_id", "text"])
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(docs, labels.where(labelled.fold("doc_id", 5) != 0))
-    return toxicity.scored(docs.withColumnsRenamed({"score": "_score"}), model).where(F.col("score") < toxicity.CUT).drop("score").withColumnsRenamed({"_score": "score"})
+    model = toxicity.train(plain, labels.where(labelled.fold("doc_id", 5) != 0))
+    return restored(toxicity.scored(plain, model).where(F.col("score") < toxicity.CUT))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to the target mix."""
     ready(spark)
-    return mixing.mixed(docs, mixing.labelled(docs), settings.MIX, settings.KEEP).where("kept").select(*docs.columns)
+    plain, restored = labelled.shielded(docs, ["doc_id", "text", "source", "lang"])
+    return restored(mixing.mixed(plain, mixing.labelled(plain), settings.MIX, settings.KEEP).where("kept"))
 
 
 def write_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

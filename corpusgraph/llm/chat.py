@@ -30,7 +30,7 @@ def unescape(text: str) -> str:
 
 
 def _escape_role(role: str) -> str:
-    return role.replace("\\", "\\\\").replace("\n", "\\n").replace("<", "\\<")
+    return role.replace("\\", "\\\\").replace("\n", "\\n").replace("|", "\\|")
 
 
 def _unescape_role(role: str) -> str:

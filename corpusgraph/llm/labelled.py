@@ -1,9 +1,11 @@
-"""Folds and bounded samples of labelled documents, and models as one broadcast row."""
+"""Folds and bounded samples of labelled documents, models of bounded size, and scores by them."""
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .text import small
+
 
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; an id that is null falls into no fold."""
@@ -38,14 +40,22 @@ def fitted(rows: DataFrame, fit) -> list[np.ndarray]:
             x = np.asarray(x, np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([x.tobytes()], pa.binary())], names=["n", "values"])
     got = rows.repartition(1).sortWithinPartitions("place", "label", "text").select("text", "label").mapInArrow(learn, "n long, values binary").collect()
+    if not got:  # no labelled rows, no task
+        return [np.asarray(x, np.float32) for x in fit(pa.array([], pa.string()), np.zeros(0, np.int64))]
     return [np.frombuffer(bytes(r["values"]), np.float32) for r in sorted(got, key=lambda r: r["n"])]
 
 
+def shielded(docs: DataFrame, needed: list[str]):
+    """``docs`` with only ``needed`` columns under their own names, and a function that selects all columns
+    and gives their names back: extra columns never clash with an operator's own."""
+    names = [c if c in needed else f"_x{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda out: out.select(*names).toDF(*docs.columns)
+
+
 def scored(docs: DataFrame, model, score) -> DataFrame:
     """``docs`` (any columns with ``text``) plus ``score`` double: ``score`` (Arrow strings, model) -> array."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*[c for c in docs.columns if c != "score"], F.lit(0.0).alias("score"))
-    from .text import small
 
     def run(batches):
         for part in small(batches):

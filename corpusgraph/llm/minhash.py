@@ -23,6 +23,7 @@ from corpusgraph.functions.tables import written
 from . import sketch
 from .blocks import groups, stars, tiled
 from .components import components
+from .labelled import shielded
 from .text import U64, gram_starts, grams, mix, sequence_hash, small, strings, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -107,7 +108,7 @@ def corpus_counts(docs: DataFrame):
 def signatures(docs: DataFrame, total: int, counts) -> DataFrame:
     """(doc_id, content, buckets) of each row; content is null for a text without words."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
-    schema = pa.schema([("doc_id", docs.select("doc_id").schema and pa.int64()), ("content", pa.binary()), ("buckets", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("buckets", pa.list_(pa.int64()))])
 
     def sign(batches):
         for part in small(batches, limit=1 << 19):
@@ -269,8 +270,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class: the one with the smallest doc_id (rows repeated in full stay once)."""
-    kept = classes(docs, threshold).where("kept and content is not null").select("doc_id", "content").distinct()
-    rows = with_content(docs)
-    one = rows.join(kept, (rows.content == kept.content) & rows.doc_id.eqNullSafe(kept.doc_id), "left_semi").dropDuplicates(["doc_id", "content"])
-    return one.unionByName(rows.where("content is null")).select(*docs.columns)
+    """One document of each class: the one with the smallest doc_id (rows that repeat id and words stay once).
+
+    All columns are kept; a text without words is kept as it is.
+    """
+    plain, restored = shielded(docs, ["doc_id", "text"])
+    kept = classes(plain, threshold).where("kept and content is not null").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).distinct()
+    rows = with_content(plain)
+    one = rows.join(kept, (F.col("content") == F.col("_content")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "content"])
+    return restored(one.unionByName(rows.where("content is null")))

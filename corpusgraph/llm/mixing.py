@@ -113,5 +113,5 @@ def mixed(docs: DataFrame, rows: DataFrame, targets: dict[str, dict[str, float]]
     """
     cells = F.broadcast(probabilities(described(docs), targets, keep))
     keys = [f"_{d}" for d in targets]
-    out = rows.withColumns({k: _value(d, targets[d]) for k, d in zip(keys, targets)}).join(cells, keys).drop(*keys)
+    out = rows.drop("probability").withColumns({k: _value(d, targets[d]) for k, d in zip(keys, targets)}).join(cells, keys).drop(*keys)
     return out.withColumns({"weight": F.col("probability") / keep, "kept": uniform("doc_id", seed) < F.col("probability")})

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusgraph.functions.tables import written
 
+from .labelled import shielded
 from .text import U64, WORDS, buffers, grams, small, strings, words, words_of
 
 WINDOW = 8
@@ -165,6 +166,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item."""
-    bad = written(leaks(docs, items).select(F.col("row").alias("_row")).distinct(), "leaks")
-    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(bad, "_row", "left_anti").select(*docs.columns)
+    """``docs`` (any columns) without the rows that hold a benchmark item."""
+    plain, restored = shielded(docs, ["doc_id", "text"])
+    bad = written(leaks(plain, items).select("row").distinct(), "leaks")
+    return restored(plain.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(bad, "row", "left_anti"))

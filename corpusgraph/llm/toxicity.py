@@ -1,6 +1,6 @@
 """Toxicity classifier: subword embeddings averaged into a linear softmax, trained jointly.
 
-Each word gives its character n-grams (3 to 5, with marks at both ends) and itself; each is hashed to
+Each word gives its character n-grams (3 to 6, with marks at both ends) and itself; each is hashed to
 a row of an embedding table. A text is the mean of its distinct rows, two linear outputs and a softmax judge it.
 Embeddings and outputs are learnt together, so a misspelling that was never seen shares most n-gram
 vectors with what it misspells. As everything behind the mean is linear, a trained model is one number
@@ -15,10 +15,10 @@ from . import labelled
 from .text import U64, mix, strings
 
 BITS, DIM = 20, 8
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 #: Bound of the labelled sample that the model is fitted on.
 SAMPLE = 8_000
-EPOCHS, BATCH, RATE = 3, 16, 0.1
+EPOCHS, BATCH, RATE = 2, 32, 0.1
 #: Fixed factor of the mean: a toxic text may hold one toxic word in fifty.
 SCALE = 50
 #: Rows of features in fewer sample texts stay zero; a floor keeps rarely updated rows from large steps.
