@@ -1,0 +1,51 @@
+"""Ends of code blocks, in one forward pass over each file."""
+
+import bisect
+import re
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
+
+_BRACE = re.compile(r"[{}\n]")
+
+
+def brace_ends(code: str, starts) -> list:
+    """For each line: the line of the brace that closes the first one opened at or after it.
+
+    A block that is never closed ends with the file; without any brace from there on, a line is its own end.
+    """
+    opened, closed, stack, line = [], [], [], 1
+    for m in _BRACE.finditer(code):
+        ch = m[0]
+        if ch == "\n":
+            line += 1
+        elif ch == "{":
+            stack.append(len(opened))
+            opened.append(line)
+            closed.append(0)
+        elif stack:
+            closed[stack.pop()] = line
+    at = [bisect.bisect_left(opened, s) for s in starts]
+    return [(closed[i] or line) if i < len(opened) else int(s) for i, s in zip(at, starts)]
+
+
+def indent_ends(code: str, starts) -> list:
+    """For each line: the line before the next non-blank one that is not indented deeper, or the last line."""
+    lines = code.split("\n")
+    ends, stack = [len(lines)] * len(lines), []
+    own = [len(x) - len(x.lstrip()) if x.strip() else -1 for x in lines]
+    for i, width in enumerate(own):
+        while width >= 0 and stack and width <= max(own[stack[-1]], 0):
+            ends[stack.pop()] = i
+        stack.append(i) if width >= 0 else None
+    return [ends[s - 1] for s in starts]
+
+
+def _ends(code: pd.Series, language: pd.Series, starts: pd.Series) -> pd.Series:
+    return pd.Series([(indent_ends if lang == "ruby" else brace_ends)(text, lines) if lines is not None and len(lines) else []
+                      for text, lang, lines in zip(code, language, starts)], dtype=object)
+
+
+def block_ends(code: Column, language: Column, starts: Column) -> Column:
+    """End line of the block that begins at each of ``starts``; batches of files travel as Arrow."""
+    return F.pandas_udf(_ends, T.ArrayType(T.IntegerType()))(code, language, starts)

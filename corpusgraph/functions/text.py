@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-# A Unicode noncharacter: never part of valid text, so it can mark match starts.
+# Marks match starts; extraction replaces it in its input first, so a text that holds it is read like any other.
 MARK = "﷐"
 NL = "\n"
 

@@ -22,25 +22,33 @@ def units(files: DataFrame, rules=cx.DEFAULT_RULES, extra_rules: dict = None) ->
     tagged = semantics.file_semantics(ext)
     lines = extract.line_count(F.col("content")).cast("int")
     none = F.array().cast("array<string>")
+    file_only = ["imports", "call_tokens", "exports"]
+    kinds = dict(tagged.select(*file_only).dtypes)
     itself = F.struct(
         F.lit("file").alias("kind"), paths.file_name(F.col("path")).alias("name"), F.lit(1).alias("line_start"),
-        lines.alias("line_end"), none.alias("params"), none.alias("decorators"), none.alias("bases"), none.alias("methods"))
-    staged = tagged.withColumn("_members", F.concat(F.array(itself), F.col("symbols").cast(
-        "array<struct<kind:string,name:string,line_start:int,line_end:int,params:array<string>,decorators:array<string>,bases:array<string>,methods:array<string>>>")))
-    rows = extract.rows_of(staged, "_members", "seq", "s", "repo_id", "path", "language", "content", "imports",
-                           "call_tokens", "exports", "side_effects", "control_flow",
-                           F.transform("symbols", lambda s: s["name"]).alias("_names"))
+        lines.alias("line_end"), none.alias("params"), none.alias("decorators"), none.alias("bases"), none.alias("methods"),
+        F.lit(True).alias("is_first"), F.col("content").alias("text"), *[F.col(c) for c in file_only])
+
+    # Each member gets its own lines and the file-only arrays stay with the file's member, so that
+    # unfolding copies nothing that grows with the file.
+    def members(bound):
+        def member(s, i):
+            return F.struct(
+                s["kind"].alias("kind"), s["name"].alias("name"), s["line_start"].alias("line_start"), s["line_end"].alias("line_end"),
+                s["params"].alias("params"), s["decorators"].alias("decorators"), s["bases"].alias("bases"), s["methods"].alias("methods"),
+                (F.array_position(bound["names"], s["name"]) == i + 1).alias("is_first"),
+                F.array_join(tx.slice_lines(bound["lines"], s["line_start"], s["line_end"]), tx.NL).alias("text"),
+                *[F.lit(None).cast(kinds[c]).alias(c) for c in file_only])
+        return F.concat(F.array(itself), F.transform("symbols", member))
+
+    bound = F.struct(tx.lines_of(F.col("content")).alias("lines"), F.transform("symbols", lambda s: s["name"]).alias("names"))
+    staged = tagged.withColumn("_members", tx.let(bound, members))
+    rows = extract.rows_of(staged, "_members", "seq", "s", "repo_id", "path", "language", "side_effects", "control_flow")
     is_file = F.col("kind") == "file"
     flat = rows.select(
         "repo_id", "path", "language", "s.kind", F.col("seq").cast("int"), "s.name", "s.line_start", "s.line_end",
         "s.params", "s.decorators", "s.bases", "s.methods",
-        F.when(F.col("seq") == 0, F.col("imports")).alias("imports"),
-        F.when(F.col("seq") == 0, F.col("call_tokens")).alias("call_tokens"),
-        F.when(F.col("seq") == 0, F.col("exports")).alias("exports"),
-        "side_effects", "control_flow",
-        ((F.col("seq") == 0) | (F.array_position("_names", F.col("s.name")) == F.col("seq"))).alias("is_first"),
-        F.when(F.col("seq") == 0, F.col("content")).otherwise(
-            extract.symbol_source(F.col("content"), F.col("s.line_start"), F.col("s.line_end"))).alias("_source"),
+        "s.imports", "s.call_tokens", "s.exports", "side_effects", "control_flow", "s.is_first", F.col("s.text").alias("_source"),
         (F.col("s.line_end") - F.col("s.line_start") + 1).alias("_lines"))
     scored = complexity.with_complexity(flat, "_source", "language", "_lines", rules)
     with_domain = semantics.with_domain(scored, "name", "path", "_source", "domain")

@@ -9,6 +9,7 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.blocks import block_ends
 from ..functions.text import NL, rx
 from ..rules import extraction as ex, scan
 
@@ -104,39 +105,11 @@ def _exports_of(hit) -> Column:
     return F.transform(F.filter(names, lambda n: n != ""), lambda n: F.struct(n.alias("name"), hit["line"].alias("line")))
 
 
-def brace_end(lines, start) -> Column:
-    """Line of the brace that closes the first one opened at or after ``start``."""
-    window = F.array_join(F.slice(lines, start, ex.BLOCK_LIMIT), NL)
-    marks = F.split(F.regexp_replace(window, r"[^{}\n]", ""), "")
-    seed = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit(0).alias("row"), F.lit(-1).alias("end"))
-
-    def step(acc, ch):
-        depth = acc["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-        opened = acc["open"] | (ch == "{")
-        closed = (acc["end"] < 0) & (ch == "}") & acc["open"] & (depth == 0)
-        return F.struct(
-            depth.alias("depth"), opened.alias("open"),
-            (acc["row"] + F.when(ch == NL, 1).otherwise(0)).alias("row"),
-            F.when(closed, acc["row"]).otherwise(acc["end"]).alias("end"))
-
-    end = F.aggregate(marks, seed, step)["end"]
-    return F.when(end >= 0, start + end).otherwise(F.least(start - 1 + ex.BLOCK_FALLBACK, F.size(lines)))
-
-
 def indents_of(lines) -> Column:
     """Indent width per line, -1 for a blank line."""
     return F.transform(lines, lambda l: F.when(tx.nonblank(l), F.length(l) - F.length(F.regexp_replace(l, rx(r"\A\s+"), ""))).otherwise(-1))
 
 
-def indent_end(indents, start) -> Column:
-    """Line before the first non-blank line that is not indented deeper than ``start``."""
-    own = F.greatest(F.element_at(indents, start), F.lit(0))
-    after = F.slice(indents, start + 1, ex.BLOCK_LIMIT - 1)
-    stop = F.array_position(F.transform(after, lambda i: (i >= 0) & (i <= own)), True)
-    return (F.when(stop > 0, start + stop - 1)
-            .otherwise(F.least(start - 1 + ex.BLOCK_FALLBACK, F.size(indents)))).cast("int")
-
-
 # ---- python ----------------------------------------------------------------
 
 # String and comment tokens; possessive loops keep long texts off the stack.
@@ -255,7 +228,7 @@ def extracted(files: DataFrame, extra_rules: dict = None, keep_others: bool = Fa
 
     is_code = lang.isin(scan.CODE_LANGUAGES)
     step1 = (files if keep_others else files.where(is_code)).withColumn(
-        "_code", F.when(python, masked_python(F.col("content"))).otherwise(F.col("content")))
+        "_clean", F.translate("content", tx.MARK, "\ufffd")).withColumn("_code", F.when(python, masked_python(F.col("_clean"))).otherwise(F.col("_clean")))
     step2 = step1.select("*", rule_hits(code, lang, extra_rules).alias("_hits"), tx.lines_of(code).alias("_lines"),
                          F.when(is_code, F.array_distinct(tx.all_of(F.col("content"), ex.CALL_TOKEN, 1)))
                          .otherwise(_none()).alias("call_tokens"))
@@ -269,21 +242,22 @@ def extracted(files: DataFrame, extra_rules: dict = None, keep_others: bool = Fa
                                    lambda i: F.struct(i["source"], i["specifiers"], i["line"])).cast(IMPORT))
         .otherwise(F.transform(family("import"), _import).cast(IMPORT)).alias("imports"),
         F.flatten(F.transform(family("export"), _exports_of)).cast(EXPORT).alias("exports"),
-        F.when(lang.isin("python", "ruby"), indents_of(F.col("_lines"))).alias("_indents"),
+        F.when(python, indents_of(F.col("_lines"))).alias("_indents"),
     )
     functions = F.filter("_found", lambda f: (f["family"] == "function") & (f["name"] != "")
                          & (python | ~f["name"].isin(ex.CONTROL_WORDS)))
     step4 = step3.select("*", functions.alias("_functions"), F.filter("_found", lambda f: f["family"] == "class").alias("_classes"))
 
-    def symbol(f):
-        end = (F.when(python, python_end(F.col("_indents"), f["indent"], f["head_end"]))
-               .when(lang == "ruby", indent_end(F.col("_indents"), f["line"]))
-               .otherwise(brace_end(F.col("_lines"), f["line"]))).cast("int")
+    starts = F.transform(F.concat("_functions", "_classes"), lambda f: f["line"])
+    step5 = step4.withColumn("_ends", block_ends(code, lang, F.when(python, F.array().cast("array<int>")).otherwise(starts)))
+
+    def symbol(f, at):
+        end = F.when(python, python_end(F.col("_indents"), f["indent"], f["head_end"])).otherwise(F.get("_ends", at)).cast("int")
         methods = F.when(python & (f["family"] == "class"), _direct_methods(f, end)).otherwise(_none())
         return F.struct(f["family"].alias("kind"), f["name"], f["line"], end, f["params"], f["decorators"], f["bases"], methods)
 
     kept = [c for c in files.columns] + ["imports", "exports", "call_tokens"]
-    return step4.select(*kept, F.transform(F.concat("_functions", "_classes"), symbol).cast(SYMBOL).alias("symbols"))
+    return step5.select(*kept, F.transform(F.concat("_functions", "_classes"), symbol).cast(SYMBOL).alias("symbols"))
 
 
 def _direct_methods(cls, end) -> Column:

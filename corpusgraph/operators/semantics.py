@@ -60,7 +60,7 @@ def control_flow(content) -> Column:
 def domain_scores(name, path, content) -> dict:
     """Score per domain family in tenths: 10 per hit in name or path, 3 per hit in the text."""
     label = F.lower(F.concat_ws(" ", name, path))
-    head = F.lower(F.substring(content, 1, sm.DOMAIN_TEXT_CHARS))
+    head = F.lower(content)
     return {
         domain: sum((F.when(F.contains(label, F.lit(w)), 10).otherwise(0)
                      + F.when(F.contains(head, F.lit(w)), 3).otherwise(0) for w in words), F.lit(0))

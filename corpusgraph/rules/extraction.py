@@ -93,5 +93,3 @@ for _family in (FUNCTION_RULES, CLASS_RULES, IMPORT_RULES, EXPORT_RULES):
     _family["typescript"] = _family["javascript"]
 
 CALL_TOKEN = r"\b(\w+)\s*\("
-BLOCK_LIMIT = 500      # lines searched for the end of a block
-BLOCK_FALLBACK = 10    # lines assumed when no end is found

@@ -19,37 +19,74 @@ IGNORED_ENDINGS = [
     ".gif", ".svg", ".mp3", ".mp4", ".zip", ".tar", ".gz", ".pdf",
 ]
 
-# Language -> name endings.
-LANGUAGE_ENDINGS = {
-    "python": [".py", ".pyw"],
-    "javascript": [".js", ".mjs", ".cjs", ".jsx"],
-    "typescript": [".ts", ".tsx", ".mts"],
-    "java": [".java"],
-    "go": [".go"],
-    "rust": [".rs"],
-    "c": [".c", ".h"],
-    "cpp": [".cpp", ".cc", ".cxx", ".hpp", ".hh"],
-    "csharp": [".cs"],
-    "ruby": [".rb", ".erb"],
-    "php": [".php", ".phtml"],
-    "swift": [".swift"],
-    "kotlin": [".kt", ".kts"],
-    "scala": [".scala"],
-    "r": [".r"],
-    "lua": [".lua"],
-    "shell": [".sh", ".bash", ".zsh", ".env", ".htaccess"],
-    "sql": [".sql"],
-    "html": [".html", ".htm", ".twig", ".hbs", ".vue", ".svelte", ".ejs", ".pug"],
-    "css": [".css", ".scss", ".less", ".sass"],
-    "json": [".json"],
-    "yaml": [".yaml", ".yml", ".conf"],
-    "toml": [".toml", ".ini", ".cfg"],
-    "xml": [".xml", ".xsl", ".xslt"],
-    "markdown": [".md", ".mdx", ".rst"],
-    "dockerfile": [".dockerfile"],
-    "terraform": [".tf"],
-    "protobuf": [".proto"],
-    "graphql": [".graphql", ".gql"],
+# Name ending -> language.
+ENDING_LANGUAGE = {
+    ".py": "python",
+    ".pyw": "python",
+    ".js": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".jsx": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".mts": "typescript",
+    ".java": "java",
+    ".go": "go",
+    ".rs": "rust",
+    ".c": "c",
+    ".h": "c",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".hpp": "cpp",
+    ".hh": "cpp",
+    ".cs": "csharp",
+    ".rb": "ruby",
+    ".erb": "ruby",
+    ".php": "php",
+    ".phtml": "php",
+    ".swift": "swift",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".scala": "scala",
+    ".r": "r",
+    ".lua": "lua",
+    ".sh": "shell",
+    ".bash": "shell",
+    ".zsh": "shell",
+    ".env": "shell",
+    ".htaccess": "shell",
+    ".sql": "sql",
+    ".html": "html",
+    ".htm": "html",
+    ".twig": "html",
+    ".hbs": "html",
+    ".vue": "html",
+    ".svelte": "html",
+    ".ejs": "html",
+    ".pug": "html",
+    ".css": "css",
+    ".scss": "css",
+    ".less": "css",
+    ".sass": "css",
+    ".json": "json",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".conf": "yaml",
+    ".toml": "toml",
+    ".ini": "toml",
+    ".cfg": "toml",
+    ".xml": "xml",
+    ".xsl": "xml",
+    ".xslt": "xml",
+    ".md": "markdown",
+    ".mdx": "markdown",
+    ".rst": "markdown",
+    ".dockerfile": "dockerfile",
+    ".tf": "terraform",
+    ".proto": "protobuf",
+    ".graphql": "graphql",
+    ".gql": "graphql",
 }
 
 # Whole file names with a language of their own.
@@ -60,5 +97,3 @@ CODE_LANGUAGES = [
     "python", "javascript", "typescript", "java", "go", "rust", "c", "cpp",
     "csharp", "ruby", "php", "swift", "kotlin", "scala", "lua", "shell",
 ]
-
-MAX_FILE_KB = 512

@@ -17,7 +17,6 @@ DOMAIN_KEYWORDS = {
     "search": ["search", "filter", "elastic", "solr", "algolia"],
     "admin": ["admin", "dashboard", "manage", "role", "backoffice"],
 }
-DOMAIN_TEXT_CHARS = 2000
 
 ROLE_PATTERNS = {
     "entry_point": r"Controller|Handler|Route|Endpoint|Command|CLI|Servlet|Resource|View",

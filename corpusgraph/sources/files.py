@@ -7,12 +7,12 @@ from ..functions.text import lit_array, lookup
 from ..rules import scan
 
 
-def read_tree(spark: SparkSession, root: str, repo_id: str = "", max_kb: int = scan.MAX_FILE_KB) -> DataFrame:
-    """All files below ``root``; the size limit is pushed into the file listing."""
+def read_tree(spark: SparkSession, root: str, repo_id: str = "", max_kb: int = None) -> DataFrame:
+    """All files below ``root``; a size limit, if given, is pushed into the file listing."""
     base = "file:" + root.rstrip("/") + "/" if root.startswith("/") else root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return (
-        raw.where(F.col("length") <= max_kb * 1024)
+        within_size(raw, max_kb)
         .select(
             F.lit(repo_id).alias("repo_id"),
             F.regexp_replace("path", r"\A[a-z0-9]+:/+", "/").alias("_full"),
@@ -47,13 +47,13 @@ def ignored(path) -> Column:
 
 def language_of(path) -> Column:
     """Language by file name, then by name ending; null when unknown."""
-    by_ending = {e: lang for lang, ends in scan.LANGUAGE_ENDINGS.items() for e in ends}
     return F.coalesce(lookup(scan.LANGUAGE_NAMES, F.lower(paths.file_name(path))),
-                      lookup(by_ending, paths.ending(path)))
+                      lookup(scan.ENDING_LANGUAGE, paths.ending(path)))
 
 
-def within_size(files: DataFrame, max_kb: int = scan.MAX_FILE_KB) -> DataFrame:
-    return files.where(F.col("length") <= max_kb * 1024)
+def within_size(files: DataFrame, max_kb: int = None) -> DataFrame:
+    """Files up to ``max_kb`` kilobytes; all files without a limit."""
+    return files if max_kb is None else files.where(F.col("length") <= max_kb * 1024)
 
 
 def with_language(files: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def drop_globbed(files: DataFrame, globs: DataFrame) -> DataFrame:
     )
 
 
-def scan_files(files: DataFrame, globs: DataFrame = None, max_kb: int = scan.MAX_FILE_KB) -> DataFrame:
+def scan_files(files: DataFrame, globs: DataFrame = None, max_kb: int = None) -> DataFrame:
     """The whole scan: cheap path tests first, content is only carried through."""
     kept = within_size(files, max_kb).where(~ignored(F.col("path")))
     if globs is not None:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusgraph.functions.blocks import brace_ends, indent_ends
 from corpusgraph.operators import build, complexity as cp, extract as xt
 from corpusgraph.rules.extraction import Rule
 
@@ -82,8 +83,8 @@ def test_rule_languages(ext):
     assert s[("A.java", "function", "add")].params == ["x", "y"]
     assert s[("c.rb", "class", "Car")].bases == ["Vehicle"]
     assert s[("c.rb", "function", "drive")].line_end == 3
-    assert s[("open.js", "function", "broken")].line_end == 3          # never closed: start + 10, clipped to the file
-    assert s[("long.js", "function", "long")].line_end == 10           # closes beyond the search limit
+    assert s[("open.js", "function", "broken")].line_end == 3          # never closed: ends with the file
+    assert s[("long.js", "function", "long")].line_end == 602          # however far away the end is
     assert not [k for k in s if k[0] in ("m.md", "n.lua", "e.py")]
 
 
@@ -123,3 +124,20 @@ def test_complexity_terms(spark):
     assert [tuple(r) for r in got] == [(1, 2, 2.0, 0.0, 1), (2, 2, 0.0, 0.5, 5), (0, 2, 0.0, 0.0, 0), (1, 0, 0.0, 0.0, 0)]
     by_lines = spark.createDataFrame([("", "python", n) for n in (30, 31, 150, 151)], "src string, lang string, n int")
     assert [r.complexity for r in cp.with_complexity(by_lines, "src", "lang", "n").orderBy("n").collect()] == ["simple", "moderate", "moderate", "complex"]
+
+
+def test_match_mark_in_the_text(spark):
+    plain = "// c\nfunction one(a) {\n}\nclass Two {\n}\n"
+    rows = [("r", "a.js", "javascript", plain), ("r", "b.js", "javascript", plain.replace("// c", "// ﷐c"))]
+    s = symbols(spark.createDataFrame(rows, "repo_id string, path string, language string, content string"))
+    assert {k[1:]: (v.line_start, v.line_end) for k, v in s.items() if k[0] == "a.js"} == {k[1:]: (v.line_start, v.line_end) for k, v in s.items() if k[0] == "b.js"}
+
+
+@pytest.mark.parametrize("code,starts,want", [
+    ("a {\n b { }\n}\nc\n", [1, 2, 4], [3, 2, 4]), ("} f() {\nx\n}\n", [1], [3]), ("f {\n{\n}\n", [1, 2], [4, 3]), ("", [1], [1])])
+def test_brace_ends(code, starts, want):
+    assert brace_ends(code, starts) == want
+
+
+def test_indent_ends():
+    assert indent_ends("class A\n  def b\n\n    c\n  end\nend\n", [1, 2, 4, 5, 6]) == [5, 4, 4, 5, 7]

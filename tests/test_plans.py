@@ -29,3 +29,18 @@ def test_tree_to_graph_and_refresh(spark, tmp_path):
     after = corpus.refresh_graph(stored.units, old_fps, fs.read_tree(spark, str(root), "r"), globs)
     assert {r.name for r in after.nodes.collect()} == {"a.py", "alpha", "b.py", "beta2", "bad.py", "café"}
     assert after.edges.where("type = 'calls'").count() == 0
+
+
+def test_changes_of_one_path_in_one_trigger(spark, tmp_path):
+    from corpusgraph.streaming import changes as sc
+    source, state = f"{tmp_path}/changes", f"{tmp_path}/state"
+    put = lambda rows: spark.createDataFrame(rows, sc.CHANGE).coalesce(1).write.mode("append").parquet(source)
+    put([("r", "x.js", "function old() {\n}\n", "javascript", "added", 1), ("r", "y.js", "function y() {\n}\n", "javascript", "added", 1)])
+    put([("r", "x.js", "function new_() {\n}\n", "javascript", "modified", 2), ("r", "y.js", None, "javascript", "removed", 2)])
+    sc.run_available(spark, source, state)
+    names = lambda at: sorted(r.name for r in sc.current_units(spark, at).where("kind = 'function'").collect())
+    assert names(state) == ["new_"]
+    put([("r", "z.js", "function z() {\n}\n", "javascript", "added", 3)])
+    sc.run_available(spark, source, state)
+    sc.compact(spark, state, f"{tmp_path}/compact")
+    assert names(state) == names(f"{tmp_path}/compact") == ["new_", "z"]

@@ -50,13 +50,13 @@ SELECT repo_id, path, line, c.i, CASE substring(text, c.i, 1) WHEN '{' THEN 1 EL
 FROM {lines}, unnest(range(1, length(text) + 1)) c(i) WHERE substring(text, c.i, 1) IN ('{', '}')""")
 
 define("block_ends", """
-SELECT repo_id, path, seq, min(line) AS line_end FROM (
-  SELECT s.repo_id, s.path, s.seq, b.line, b.d,
-    sum(b.d) OVER w AS depth, max(b.d) OVER w AS opened
-  FROM {found_seq} s JOIN {braces} b ON b.repo_id = s.repo_id AND b.path = s.path AND b.line BETWEEN s.line AND s.line + 499
-  WHERE s.language <> 'python'
-  WINDOW w AS (PARTITION BY s.repo_id, s.path, s.seq ORDER BY b.line, b.i ROWS UNBOUNDED PRECEDING)) x
-WHERE d = -1 AND depth = 0 AND opened = 1 GROUP BY ALL""")
+SELECT repo_id, path, seq, min(CASE WHEN d = -1 AND depth = 0 AND opened = 1 THEN line END) AS line_end, max(opened) = 1 AS opened FROM (
+  SELECT *, sum(CASE WHEN opened = 1 THEN d ELSE 0 END) OVER (PARTITION BY repo_id, path, seq ORDER BY line, i ROWS UNBOUNDED PRECEDING) AS depth FROM (
+    SELECT s.repo_id, s.path, s.seq, b.line, b.i, b.d,
+      max(b.d) OVER (PARTITION BY s.repo_id, s.path, s.seq ORDER BY b.line, b.i ROWS UNBOUNDED PRECEDING) AS opened
+    FROM {found_seq} s JOIN {braces} b ON b.repo_id = s.repo_id AND b.path = s.path AND b.line >= s.line
+    WHERE s.language <> 'python') x) y
+GROUP BY ALL""")
 
 define("n_lines", "SELECT repo_id, path, count(*)::BIGINT AS n FROM {lines} GROUP BY ALL")
 
@@ -71,7 +71,7 @@ GROUP BY s.repo_id, s.path, s.seq, s.line""")
 
 define("o_symbols", r"""
 SELECT s.repo_id, s.path, s.language, s.kind, s.seq, s.name, s.line AS line_start, s.indent,
-  CASE WHEN s.language = 'python' THEN p.line_end ELSE coalesce(b.line_end, least(s.line - 1 + 10, n.n)) END::BIGINT AS line_end,
+  CASE WHEN s.language = 'python' THEN p.line_end ELSE coalesce(b.line_end, CASE WHEN b.opened THEN n.n ELSE s.line END) END::BIGINT AS line_end,
   array_to_string(CASE WHEN s.language = 'python' THEN list_filter(list_transform(string_split(params_text, ','), lambda x: trim(x)), lambda x: x NOT IN ('self', ''))
     ELSE list_transform(list_filter(string_split(params_text, ','), lambda x: trim(x) <> ''), lambda x: string_split(regexp_extract(x, '(\S+)\s*$', 1), ':')[-1]) END, '|') AS params,
   '' AS decorators,
@@ -192,5 +192,3 @@ def b11(spark, sf):
     syms = xt.symbols(xt.extracted(f)).select("repo_id", "path", "name", F.col("decorators").alias("tags"))
     return out(files.unionByName(syms))
 
-
-CODE_LANGUAGES = scan.CODE_LANGUAGES

@@ -91,20 +91,40 @@ def g3_units(spark, sf):
     return rf.refreshed_units(units, fresh, change).where("kind <> 'file'").select("repo_id", "path", "kind", "name")
 
 
-@query("g6_change_stream", "SELECT repo_id, path, kind, name FROM {o_symbols} WHERE path NOT IN (SELECT path FROM {code_files} WHERE k % 10 = 0)")
-def g6(spark, sf):
-    """Three change batches: stale even files, odd files, then the final state of even files."""
+_G6 = "SELECT repo_id, path, kind, name FROM {o_symbols} WHERE path NOT IN (SELECT path FROM {code_files} WHERE k % 10 = 0)"
+
+
+def change_batches(spark, sf):
+    """Three parts: stale even files, odd files, then the final state of even files."""
     files = view(spark, sf, "code_files").select("repo_id", "path", "content", "language", "k")
+    even, odd = files.where("k % 2 = 0"), files.where("k % 2 = 1")
+    stale = even.withColumn("content", F.lit("")).withColumn("status", F.lit("added"))
+    final = even.withColumn("status", F.expr("case when k % 10 = 0 then 'removed' else 'modified' end"))
+    parts = (stale, odd.withColumn("status", F.lit("added")), final)
+    return [part.drop("k").withColumn("seq", F.lit(n).cast("long")) for n, part in enumerate(parts)]
+
+
+@query("g6_change_stream", _G6)
+def g6(spark, sf):
+    """The three parts arrive one after the other."""
     source, state = new_path(spark, "changes"), new_path(spark, "state")
-    stale = files.where("k % 2 = 0").withColumn("content", F.lit("")).withColumn("status", F.lit("added"))
-    odd = files.where("k % 2 = 1").withColumn("status", F.lit("added"))
-    final = files.where("k % 2 = 0").withColumn("status", F.expr("case when k % 10 = 0 then 'removed' else 'modified' end"))
-    for part in (stale, odd, final):
-        part.drop("k").coalesce(1).write.mode("append").parquet(source)
-        sc.run_available(spark, source, state, files_per_batch=1)
+    for part in change_batches(spark, sf):
+        part.write.mode("append").parquet(source)
+        sc.run_available(spark, source, state)
     return sc.current_units(spark, state).where("kind <> 'file'").select("repo_id", "path", "kind", "name")
 
 
+@query("g6_one_trigger", _G6)
+def g6_one_trigger(spark, sf):
+    """All parts in one trigger, so half of the paths change twice within it; read from the compacted log."""
+    source, state = new_path(spark, "changes"), new_path(spark, "state")
+    for part in change_batches(spark, sf):
+        part.write.mode("append").parquet(source)
+    sc.run_available(spark, source, state, files_per_batch=100_000)
+    sc.compact(spark, state, f"{state}-compact")
+    return sc.current_units(spark, f"{state}-compact").where("kind <> 'file'").select("repo_id", "path", "kind", "name")
+
+
 # ---- H --------------------------------------------------------------------------
 
 define("h_changed", """

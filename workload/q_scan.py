@@ -67,13 +67,12 @@ def a3(spark, sf):
 
 @query("a4_size_limit", "SELECT repo_id, path, length FROM {all_paths} WHERE length <= 512 * 1024")
 def a4(spark, sf):
-    return fs.within_size(all_paths(spark, sf))
+    return fs.within_size(all_paths(spark, sf), 512)
 
 
-_BY_END = {e: lang for lang, ends in scan.LANGUAGE_ENDINGS.items() for e in ends}
 LANGUAGE_SQL = ("CASE lower(string_split(path, '/')[-1]) WHEN 'dockerfile' THEN 'dockerfile' WHEN 'makefile' THEN 'makefile' ELSE "
                 "CASE regexp_extract(lower(string_split(path, '/')[-1]), '(\\.[^.]*)$', 1) "
-                + " ".join(f"WHEN '{e}' THEN '{lang}'" for e, lang in _BY_END.items()) + " END END")
+                + " ".join(f"WHEN '{e}' THEN '{lang}'" for e, lang in scan.ENDING_LANGUAGE.items()) + " END END")
 
 
 @query("a5_language", f"""
@@ -90,7 +89,7 @@ def a5(spark, sf):
 @query("a2_a5_scan", f"""
 SELECT repo_id, path, language FROM (
   SELECT p.repo_id, p.path, {LANGUAGE_SQL.replace("path", "p.path")} AS language FROM {{ignored_paths}} p
-  ANTI JOIN {{globbed}} g ON p.repo_id = g.repo_id AND p.path = g.path WHERE NOT ignored AND length <= 512 * 1024) x
+  ANTI JOIN {{globbed}} g ON p.repo_id = g.repo_id AND p.path = g.path WHERE NOT ignored ) x
 WHERE language IS NOT NULL""")
 def scan_all(spark, sf):
     return fs.scan_files(all_paths(spark, sf), view(spark, sf, "globs")).select("repo_id", "path", "language")

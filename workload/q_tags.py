@@ -97,7 +97,7 @@ _LABELED = """SELECT repo_id, path, string_split(path, '/')[-1] AS name, content
 
 @query("c5_domains", f"""
 SELECT repo_id, path, {pick_domain('scores')} AS domain FROM (
-  SELECT repo_id, path, {domain_sql("lower(concat(name, ' ', path))", "lower(substring(content, 1, 2000))")} AS scores FROM ({_LABELED}) x) y""")
+  SELECT repo_id, path, {domain_sql("lower(concat(name, ' ', path))", "lower(content)")} AS scores FROM ({_LABELED}) x) y""")
 def c5(spark, sf):
     cols = ["repo_id", "path", "content"]
     both = code_files(spark, sf).select(cols).unionByName(view(spark, sf, "doc_files").select(cols))
@@ -211,7 +211,7 @@ SELECT repo_id, path, seq, CASE WHEN language = 'go' THEN {_n('return')} ELSE br
 
 define("o_units", f"""
 SELECT s.*, coalesce(e.effects, '') AS effects, fl.control_flow, {pick_domain('scores')} AS domain, {role_sql("concat(s.name, ' ', s.path)")} AS role, c.complexity
-FROM (SELECT *, {domain_sql("lower(concat(name, ' ', path))", "lower(substring(source, 1, 2000))")} AS scores FROM {{o_sources}}) s
+FROM (SELECT *, {domain_sql("lower(concat(name, ' ', path))", "lower(source)")} AS scores FROM {{o_sources}}) s
 LEFT JOIN {{file_effect_list}} e ON e.repo_id = s.repo_id AND e.path = s.path
 JOIN (SELECT repo_id, path, {_FLOW} AS control_flow FROM {{code_files}}) fl ON fl.repo_id = s.repo_id AND fl.path = s.path
 JOIN (SELECT repo_id, path, seq, {BUCKET_SQL} AS complexity FROM {{scored}}) c ON c.repo_id = s.repo_id AND c.path = s.path AND c.seq = s.seq""")
@@ -241,4 +241,3 @@ def c8(spark, sf):
     return out(units(spark, sf).select("repo_id", "path", "seq", "summary"))
 
 
-TEXT = tx
