@@ -71,7 +71,7 @@ def _php(row: DataFrame) -> DataFrame:
         _version("runtime", "php", F.try_element_at(req, F.lit("php"))),
         _version("runtime", "php", F.when(present & F.try_element_at(req, F.lit("php")).isNull(), dotted), last=False),
         *[_version("frameworks", fw, F.try_element_at(req, F.lit(pkg)), sub=i) for i, (pkg, fw) in enumerate(iv.PHP_FRAMEWORKS.items())],
-    )).withColumn("php_p", _packages("composer", F.size(pkgs), F.slice(pkgs, 1, 15))).drop("_c")
+    )).withColumn("php_p", _packages("composer", F.size(pkgs), pkgs)).drop("_c")
 
 
 def _node(row: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def _node(row: DataFrame) -> DataFrame:
         _version("runtime", "node", F.try_element_at(eng, F.lit("node")), last=False),
         _version("runtime", "npm", F.try_element_at(eng, F.lit("npm"))),
         *[_version("frameworks", fw, F.coalesce(F.try_element_at(dev, F.lit(pkg)), F.try_element_at(deps, F.lit(pkg)))) for pkg, fw in iv.NODE_FRAMEWORKS.items()],
-    )).withColumn("node_p", _packages("npm", size(deps) + size(dev), F.slice(_entries(deps), 1, 10))).drop("_p")
+    )).withColumn("node_p", _packages("npm", size(deps) + size(dev), _entries(deps))).drop("_p")
 
 
 def _python(row: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def _python(row: DataFrame) -> DataFrame:
 
     return row.withColumn("python_v", _candidates(
         _version("runtime", "python", _first_group(F.col("pyproject_toml"), r"requires-python\s*=\s*[\"']([^\"']+)")),
-    )).withColumn("python_p", _packages("pip", F.size(lines), _last_values(F.transform(F.slice(lines, 1, 15), entry))))
+    )).withColumn("python_p", _packages("pip", F.size(lines), _last_values(F.transform(lines, entry))))
 
 
 def _go(row: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def _go(row: DataFrame) -> DataFrame:
     found = F.transform(tx.all_of(F.col("go_mod"), pattern, 0), lambda m: F.struct(
         F.regexp_extract(m, rx(pattern), 1).alias("name"), F.regexp_extract(m, rx(pattern), 2).alias("version")))
     return row.withColumn("go_v", _candidates(_version("runtime", "go", _first_group(F.col("go_mod"), r"(?m)^go\s+([\d.]+)")))).withColumn(
-        "go_p", _packages("go", F.size(found), _last_values(F.slice(found, 1, 10))))
+        "go_p", _packages("go", F.size(found), _last_values(found)))
 
 
 def _ruby(row: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def _ruby(row: DataFrame) -> DataFrame:
         _version("runtime", "ruby", tx.strip(F.col("_ruby-version"))),
         _version("runtime", "ruby", _first_group(F.col("Gemfile"), r"ruby\s+['\"]([^'\"]+)"), last=False),
         *[_version("frameworks", fw, framework(gem)) for gem, fw in iv.RUBY_FRAMEWORKS.items()],
-    )).withColumn("ruby_p", _packages("gem", F.size(gems), _last_values(F.slice(gems, 1, 10))))
+    )).withColumn("ruby_p", _packages("gem", F.size(gems), _last_values(gems)))
 
 
 def base_image(content) -> Column:
@@ -175,9 +175,11 @@ def with_findings(versions: DataFrame, findings: DataFrame) -> DataFrame:
     return base.select(*versions.columns).unionByName(tools.select(*versions.columns))
 
 
-def digest(files: DataFrame) -> DataFrame:
-    """Config files at the repository root as text snippets, in fixed order."""
+def digest(files: DataFrame, max_chars: int = None) -> DataFrame:
+    """Config files at the repository root as text snippets, in fixed order; ``max_chars`` cuts each, if given."""
     order = tx.lookup({n: i for i, n in enumerate(iv.DIGEST_NAMES)}, F.col("path"))
-    body = F.when(F.length("content") > iv.DIGEST_CHARS, F.concat(F.substring("content", 1, iv.DIGEST_CHARS), F.lit("\n... (truncated)"))).otherwise(F.col("content"))
+    body = F.col("content")
+    if max_chars is not None:
+        body = F.when(F.length(body) > max_chars, F.concat(F.substring(body, 1, max_chars), F.lit("\n... (truncated)"))).otherwise(body)
     return files.where(F.col("path").isin(iv.DIGEST_NAMES)).select(
         "repo_id", order.alias("ord"), F.col("path").alias("name"), F.concat(F.lit("### "), "path", F.lit("\n```\n"), body, F.lit("\n```")).alias("snippet"))

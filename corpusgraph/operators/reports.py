@@ -155,12 +155,14 @@ def hotspots(nodes: DataFrame, top: int = 15) -> DataFrame:
         "lines", F.when(F.col("_span") > 0, F.col("_span") + 1).otherwise(0))
 
 
-def reading_order(nodes: DataFrame, files: int = 50, dirs: int = 5) -> DataFrame:
-    """Layers in reading order with the first directories of their first files."""
+def reading_order(nodes: DataFrame, files: int = None, dirs: int = None) -> DataFrame:
+    """Layers in reading order with the directories of their files; only the first ones if limits are given."""
     rows = _with_layer(nodes)
     present = rows.groupBy("repo_id", "layer").agg(F.count("*").alias("nodes"))
-    head = first_rows(rows.where(F.col("type") == "file"), ["repo_id", "layer"], ["ord"], files)
-    listed = head.groupBy("repo_id", "layer").agg(F.slice(F.array_sort(F.collect_set(paths.parent(F.col("file_path")))), 1, dirs).alias("directories"))
+    head = rows.where(F.col("type") == "file")
+    head = head if files is None else first_rows(head, ["repo_id", "layer"], ["ord"], files)
+    listed = head.groupBy("repo_id", "layer").agg(F.array_sort(F.collect_set(paths.parent(F.col("file_path")))).alias("directories"))
+    listed = listed if dirs is None else listed.withColumn("directories", F.slice("directories", 1, dirs))
     joined = present.join(listed, ["repo_id", "layer"], "left").withColumn("layer_rank", _layer_rank(gr.READING_ORDER)).where(F.col("layer_rank").isNotNull())
     return joined.select("repo_id", "layer", "layer_rank", F.coalesce(F.when(F.size("directories") > 0, F.array_join("directories", ", ")), F.lit("various")).alias("directories"))
 
@@ -178,15 +180,17 @@ def api_flows(nodes: DataFrame, edges: DataFrame, entries: int = 15, shown: int
     return first_rows(flows.withColumnRenamed("rank", "_from"), ["repo_id"], ["_from"], shown).withColumn("effects", effects)
 
 
-def data_flows(nodes: DataFrame, edges: DataFrame, writers: int = 15, callers: int = 3) -> DataFrame:
-    """First database writers, one per name, with their first callers."""
+def data_flows(nodes: DataFrame, edges: DataFrame, writers: int = None, callers: int = None) -> DataFrame:
+    """Database writers, the first of each name, with their callers in order; limits apply to names and callers."""
     effects = tv.effect_types(nodes)
     rows = _symbols(nodes).where(_has_effect(effects, "db_write")).withColumn("targets", F.filter(effects, lambda e: F.contains(e, F.lit("db_write"))))
-    head = first_rows(rows, ["repo_id"], ["ord"], writers)
-    once = head.groupBy("repo_id", "name").agg(F.min_by(F.struct("id", "targets", "rank"), "rank").alias("w")).select("repo_id", "name", "w.*")
+    once = rows.groupBy("repo_id", "name").agg(F.min_by(F.struct("id", "targets", "ord"), "ord").alias("w")).select("repo_id", "name", "w.*")
+    once = numbered(once, ["repo_id"], ["ord"], "rank") if writers is None else first_rows(once, ["repo_id"], ["ord"], writers)
+    once = once.drop("ord")
     names = nodes.select("repo_id", F.col("id").alias("caller"), F.col("name").alias("caller_name"), F.col("ord").alias("caller_ord"))
-    who = first_rows(tv.callers(edges, once).join(names, ["repo_id", "caller"]), NODE, ["caller_ord", "caller"], callers, "_r").groupBy(*NODE).agg(
-        F.array_join(_ordered_names("_r", "caller_name"), ", ").alias("callers"))
+    who = tv.callers(edges, once).join(names, ["repo_id", "caller"]).withColumn("_r", F.struct("caller_ord", "caller"))
+    who = who if callers is None else first_rows(who, NODE, ["_r"], callers, "_n")
+    who = who.groupBy(*NODE).agg(F.array_join(_ordered_names("_r", "caller_name"), ", ").alias("callers"))
     return once.join(who, NODE, "left").withColumn("callers", F.coalesce("callers", F.lit("")))
 
 

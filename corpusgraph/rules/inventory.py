@@ -14,7 +14,6 @@ DIGEST_NAMES = [
     "Dockerfile", "develop.dockerfile", "docker-compose.yml",
     ".node-version", ".nvmrc", ".ruby-version", ".python-version", ".tool-versions",
 ]
-DIGEST_CHARS = 3000
 
 PHP_FRAMEWORKS = {
     "symfony/symfony": "Symfony", "symfony/framework-bundle": "Symfony",

@@ -63,14 +63,14 @@ _versions("l6_docker", "docker")
 
 _ENTRY = "list_transform({0}, lambda e: concat(e.name, '=', e.version))"
 define("packs", """
-SELECT repo_id, folder, 'composer' AS manager, len(ks)::BIGINT AS count, array_to_string(list_transform(ks[1:15], lambda k: concat(k, '=', coalesce(json_extract_string(jc, concat('$."require-dev"."', k, '"')), json_extract_string(jc, concat('$.require."', k, '"'))))), ',') AS key
+SELECT repo_id, folder, 'composer' AS manager, len(ks)::BIGINT AS count, array_to_string(list_transform(ks, lambda k: concat(k, '=', coalesce(json_extract_string(jc, concat('$."require-dev"."', k, '"')), json_extract_string(jc, concat('$.require."', k, '"'))))), ',') AS key
 FROM (SELECT *, list_filter(list_concat(json_keys(jc, '$.require'), json_keys(jc, '$."require-dev"')), lambda k: k <> 'php' AND NOT starts_with(k, 'ext-')) AS ks FROM {man} WHERE file_name = 'composer.json') a
 UNION ALL SELECT repo_id, folder, 'npm', (len(json_keys(jc, '$.dependencies')) + len(json_keys(jc, '$.devDependencies')))::BIGINT,
-  array_to_string(list_transform(json_keys(jc, '$.dependencies')[1:10], lambda k: concat(k, '=', json_extract_string(jc, concat('$.dependencies."', k, '"')))), ',') FROM {man} WHERE file_name = 'package.json'
-UNION ALL SELECT repo_id, folder, 'pip', len(ls)::BIGINT, array_to_string(list_transform(ls[1:15], lambda l: concat(regexp_extract(l, '^([^=<>!~]*)', 1), '=', CASE WHEN regexp_matches(l, '[=<>!~]') THEN trim(l[length(regexp_extract(l, '^([^=<>!~]*)', 1)) + 1:], '=<>!~ ') ELSE '*' END)), ',')
+  array_to_string(list_transform(json_keys(jc, '$.dependencies'), lambda k: concat(k, '=', json_extract_string(jc, concat('$.dependencies."', k, '"')))), ',') FROM {man} WHERE file_name = 'package.json'
+UNION ALL SELECT repo_id, folder, 'pip', len(ls)::BIGINT, array_to_string(list_transform(ls, lambda l: concat(regexp_extract(l, '^([^=<>!~]*)', 1), '=', CASE WHEN regexp_matches(l, '[=<>!~]') THEN trim(l[length(regexp_extract(l, '^([^=<>!~]*)', 1)) + 1:], '=<>!~ ') ELSE '*' END)), ',')
   FROM (SELECT *, list_filter(string_split(content, chr(10)), lambda l: trim(l) <> '' AND NOT starts_with(l, '#')) AS ls FROM {man} WHERE file_name = 'requirements.txt') b
-UNION ALL SELECT repo_id, folder, 'go', len(ms)::BIGINT, array_to_string(list_transform(ms[1:10], lambda m: regexp_replace(m, '^\\t([\\w./\\-]+)\\s+(v[\\d.]+)$', '\\1=\\2')), ',') FROM (SELECT *, regexp_extract_all(content, '(?m)^\\t([\\w./\\-]+)\\s+(v[\\d.]+)') AS ms FROM {man} WHERE file_name = 'go.mod') c
-UNION ALL SELECT repo_id, folder, 'gem', len(ms)::BIGINT, array_to_string(list_transform(ms[1:10], lambda m: concat(regexp_extract(m, 'gem ''([^'']+)''', 1), '=', regexp_extract(m, 'gem ''[^'']+'', ''([^'']*)''', 1))), ',') FROM (SELECT *, regexp_extract_all(content, 'gem\\s+''[^'']+''(?:,\\s*''[^'']*'')?') AS ms FROM {man} WHERE file_name = 'Gemfile') d""")
+UNION ALL SELECT repo_id, folder, 'go', len(ms)::BIGINT, array_to_string(list_transform(ms, lambda m: regexp_replace(m, '^\\t([\\w./\\-]+)\\s+(v[\\d.]+)$', '\\1=\\2')), ',') FROM (SELECT *, regexp_extract_all(content, '(?m)^\\t([\\w./\\-]+)\\s+(v[\\d.]+)') AS ms FROM {man} WHERE file_name = 'go.mod') c
+UNION ALL SELECT repo_id, folder, 'gem', len(ms)::BIGINT, array_to_string(list_transform(ms, lambda m: concat(regexp_extract(m, 'gem ''([^'']+)''', 1), '=', regexp_extract(m, 'gem ''[^'']+'', ''([^'']*)''', 1))), ',') FROM (SELECT *, regexp_extract_all(content, 'gem\\s+''[^'']+''(?:,\\s*''[^'']*'')?') AS ms FROM {man} WHERE file_name = 'Gemfile') d""")
 
 
 @query("l7_precedence", "SELECT repo_id, section, name, version FROM {settled}")
@@ -100,7 +100,7 @@ def l8(spark, sf):
 
 
 @query("l9_digest", f"""
-SELECT repo_id, list_position([{', '.join(q(n) for n in iv.DIGEST_NAMES)}], path)::BIGINT - 1 AS ord, path AS name, concat('### ', path, chr(10), '```', chr(10), CASE WHEN length(content) > 3000 THEN concat(content[1:3000], chr(10), '... (truncated)') ELSE content END, chr(10), '```') AS snippet
+SELECT repo_id, list_position([{', '.join(q(n) for n in iv.DIGEST_NAMES)}], path)::BIGINT - 1 AS ord, path AS name, concat('### ', path, chr(10), '```', chr(10), content, chr(10), '```') AS snippet
 FROM {{manifests}} WHERE path IN ({', '.join(q(n) for n in iv.DIGEST_NAMES)})""")
 def l9(spark, sf):
     return out(inv.digest(manifests(spark, sf)))

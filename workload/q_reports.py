@@ -138,8 +138,8 @@ def i11(spark, sf):
 
 @query("i12_reading_order", f"""
 SELECT l.layer, l.layer_rank, coalesce(d.directories, 'various') AS directories FROM (SELECT DISTINCT layer_name AS layer, {_rank_sql(gr.READING_ORDER)}::BIGINT AS layer_rank FROM {{star_layer}}) l
-LEFT JOIN (SELECT layer_name, array_to_string((list(DISTINCT dir ORDER BY dir))[1:5], ', ') AS directories FROM (
-  SELECT layer_name, regexp_replace(file_path, '/[^/]*$', '') AS dir, row_number() OVER (PARTITION BY layer_name ORDER BY ord) AS r FROM {{star_layer}} WHERE type = 'file') x WHERE r <= 50 GROUP BY ALL) d ON d.layer_name = l.layer
+LEFT JOIN (SELECT layer_name, array_to_string(list(DISTINCT dir ORDER BY dir), ', ') AS directories FROM (
+  SELECT layer_name, regexp_replace(file_path, '/[^/]*$', '') AS dir, row_number() OVER (PARTITION BY layer_name ORDER BY ord) AS r FROM {{star_layer}} WHERE type = 'file') x GROUP BY ALL) d ON d.layer_name = l.layer
 WHERE layer_rank IS NOT NULL""")
 def i12(spark, sf):
     return out(rp.reading_order(nodes(spark, sf)).drop("repo_id"))
@@ -159,12 +159,12 @@ def i13(spark, sf):
 
 
 define("writers", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) AS rn FROM (SELECT *, row_number() OVER (ORDER BY ord)::BIGINT AS rank FROM {star_nodes} WHERE type IN ('function', 'class') AND contains(effects_text, 'db_write') QUALIFY rank <= 15) x) y WHERE rn = 1""")
+SELECT *, row_number() OVER (ORDER BY ord)::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) AS rn FROM {star_nodes} WHERE type IN ('function', 'class') AND contains(effects_text, 'db_write')) x WHERE rn = 1""")
 
 
 @query("i14_data_flows", """
 SELECT w.name, w.id, w.rank, 'db_write:orders' AS targets, coalesce(c.callers, '') AS callers FROM {writers} w LEFT JOIN (
-  SELECT e.dst, array_to_string((list(n.name ORDER BY n.ord))[1:3], ', ') AS callers FROM {star_edges} e JOIN {star_nodes} n ON n.id = e.src WHERE e.type = 'calls' GROUP BY ALL) c ON c.dst = w.id""")
+  SELECT e.dst, array_to_string(list(n.name ORDER BY n.ord), ', ') AS callers FROM {star_edges} e JOIN {star_nodes} n ON n.id = e.src WHERE e.type = 'calls' GROUP BY ALL) c ON c.dst = w.id""")
 def i14(spark, sf):
     return out(rp.data_flows(nodes(spark, sf), edges(spark, sf)).drop("repo_id"))
 
