@@ -260,20 +260,19 @@ define("callee_list", _listing("src", "dst", "callees"))
 @query("f8_explain", """
 SELECT n.id, n.name, n.type, n.file_path, n.summary, n.complexity, n.domain, n.role, coalesce(a.callers, '') AS callers, coalesce(a.callers_total, 0)::BIGINT AS callers_total,
   coalesce(b.callees, '') AS callees, coalesce(b.callees_total, 0)::BIGINT AS callees_total
-FROM {star_nodes} n LEFT JOIN {caller_list} a ON a.id = n.id LEFT JOIN {callee_list} b ON b.id = n.id WHERE n.k % 10 = 3""")
+FROM {star_nodes} n LEFT JOIN {caller_list} a ON a.id = n.id LEFT JOIN {callee_list} b ON b.id = n.id""")
 def f8(spark, sf):
     n = nodes(spark, sf)
-    wanted = n.where(F.expr("cast(substring(id, 2) as bigint) % 10 = 3"))
-    x = tv.explain(n, edges(spark, sf), wanted)
+    x = tv.explain(n, edges(spark, sf), n)
     text = lambda c: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c)
     return x.select("id", "name", "type", "file_path", "summary", "complexity", tv.domain_of().alias("domain"), tv.role_of().alias("role"),
                     text("callers"), F.col("callers_total").cast("bigint"), text("callees"), F.col("callees_total").cast("bigint"))
 
 
-@query("f9_one_hop", "SELECT DISTINCT set_id, id FROM (SELECT 's' || (k % 3) AS set_id, id FROM {star_nodes} WHERE type = 'class' AND k % 9 = 0 UNION ALL SELECT 's' || (k % 3), a.nxt FROM {star_nodes} n JOIN {adj} a ON a.id = n.id WHERE n.type = 'class' AND k % 9 = 0) x")
+@query("f9_one_hop", "SELECT DISTINCT set_id, id FROM (SELECT 's' || (k % 3) AS set_id, id FROM {star_nodes} WHERE type = 'class' UNION ALL SELECT 's' || (k % 3), a.nxt FROM {star_nodes} n JOIN {adj} a ON a.id = n.id WHERE n.type = 'class') x")
 def f9(spark, sf):
     key = F.expr("cast(substring(id, 2) as bigint)")
-    sets = nodes(spark, sf).where((F.col("type") == "class") & (key % 9 == 0)).select(F.concat(F.lit("s"), key % 3).alias("set_id"), "repo_id", "id")
+    sets = nodes(spark, sf).where(F.col("type") == "class").select(F.concat(F.lit("s"), key % 3).alias("set_id"), "repo_id", "id")
     return tv.one_hop(sets, edges(spark, sf)).drop("repo_id")
 
 
@@ -292,21 +291,21 @@ UNION ALL SELECT c.id, d.dst, [0, a.rank, b.rank, d.rank] FROM {e} c JOIN {{top_
     define(name, f"SELECT entry, id, (row_number() OVER (PARTITION BY entry ORDER BY p) - 1)::BIGINT AS step FROM {{{name}_first}}")
 
 
-define("chain_entries", "SELECT id FROM {star_nodes} WHERE type = 'class' AND k % 4 = 0")
+define("chain_entries", "SELECT id FROM {star_nodes} WHERE type = 'class'")
 define_chains("chains_full", "chain_entries")
 
 
 @query("f10_chains", "SELECT * FROM {chains_full} WHERE step < 6")
 def f10(spark, sf):
     n = nodes(spark, sf)
-    entries = n.where((F.col("type") == "class") & F.expr("cast(substring(id, 2) as bigint) % 4 = 0"))
+    entries = n.where(F.col("type") == "class")
     return out(tv.chains(entries, n, edges(spark, sf)).drop("repo_id"))
 
 
 @query("f10_chains_by_depth", "SELECT * FROM {chains_full}")
 def f10_depth(spark, sf):
     n = nodes(spark, sf)
-    entries = n.where((F.col("type") == "class") & F.expr("cast(substring(id, 2) as bigint) % 4 = 0"))
+    entries = n.where(F.col("type") == "class")
     return out(tv.chains(entries, n, edges(spark, sf), max_nodes=2000, max_depth=6).drop("repo_id"))
 
 
