@@ -26,7 +26,6 @@ LENGTH, GRAM = 50, 16
 AFTER, BEFORE = 64, 48
 #: Suffixes of other documents that each suffix is compared with, on each side and in each order.
 NEIGHBOURS = 6
-_MAX = U64(2**64 - 1)
 
 
 def _sliding(v: np.ndarray, width: int, combine) -> np.ndarray:
@@ -47,19 +46,19 @@ def anchors(w) -> np.ndarray:
         return np.zeros(0, np.int64)
     g = grams(h, GRAM)
     v = mix(g ^ U64(0x5EED))
-    v[v == _MAX] -= U64(1)
     v[v == 0] = U64(1)
-    # in a run of one repeated gram only every width-th position competes
-    same = np.concatenate([[False], g[1:] == g[:-1]])
-    run = np.flatnonzero(~same)
-    into = np.arange(len(v)) - np.repeat(run, np.diff(np.append(run, len(v))))
-    v[into % width != 0] = _MAX
     inside = of[:len(v)] == of[GRAM - 1:]
     least = _sliding(v, width, np.minimum)
     fits = of[:len(least)] == of[LENGTH - 1:]
-    least = np.where(fits & (least != _MAX), least, U64(0))
+    least = np.where(fits, least, U64(0))
     padded = np.concatenate([np.zeros(width - 1, U64), least, np.zeros(width - 1, U64)])
-    return np.flatnonzero((_sliding(padded, width, np.maximum)[:len(v)] == v) & inside)
+    at = np.flatnonzero((_sliding(padded, width, np.maximum)[:len(v)] == v) & inside)
+    # repeated words select the same gram over and over: of such a chain one in each half width stays
+    half = width // 2
+    linked = np.concatenate([[False], (v[at[1:]] == v[at[:-1]]) & (at[1:] - at[:-1] <= half)])
+    head = np.flatnonzero(~linked)
+    bins = (at - np.repeat(at[head], np.diff(np.append(head, len(at))))) // half
+    return at[~linked | np.concatenate([[True], bins[1:] != bins[:-1]])]
 
 
 _ANCHOR = pa.schema([("gram", pa.int64()), ("row", pa.int64()), ("place", pa.int32())])
@@ -209,7 +208,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.col("doc_id").cast("long"), "text")
     found = written(_found(rows).distinct(), "anchors")
     common = found.groupBy("gram").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a != b").select("gram")
-    places = found.join(common, "gram").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    places = found.join(written(common, "grams"), "gram").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("places"))
     chosen = rows.join(written(places, "places"), "row").select("row", "doc_id", "text", "places")
     suffixes = written(_contexts(chosen), "suffixes")
     matches = _sorted(suffixes, ["after", "row", "place"]).unionByName(_sorted(suffixes, ["before", "row", "place"]))
