@@ -1,6 +1,8 @@
 """The registered queries against their SQL twins on the smallest tables."""
 
+import importlib
 import os
+import sys
 
 import duckdb
 import pytest
@@ -40,3 +42,12 @@ def test_every_twin_has_a_query():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="given tables are not here")
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_entry_without_the_training_data_subpackage(monkeypatch):
+    with monkeypatch.context() as m:
+        m.setitem(sys.modules, "corpusgraph.llm", None)
+        m.delitem(sys.modules, "corpusgraph.llm.queries", raising=False)
+        importlib.reload(entry)
+        assert entry.llm is None and "f7_shortest_path" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+    importlib.reload(entry)

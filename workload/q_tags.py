@@ -139,7 +139,14 @@ def _n(pattern):
     return f"len(regexp_extract_all(source, {q(pattern)}))"
 
 
-SRC, LANG = F.col("source"), F.col("language")
+def src():
+    return F.col("source")
+
+
+def lang():
+    return F.col("language")
+
+
 BRANCH_SQL = "CASE language " + " ".join(f"WHEN '{lang}' THEN {_n(p)}" for lang, p in cx.BRANCHES.items()) + f" ELSE {_n(cx.BRANCHES['python'])} END"
 define("char_depth", """
 SELECT repo_id, path, seq, max(depth - least(0, low)) AS deepest FROM (
@@ -181,14 +188,14 @@ def _term(name, key, expr, extra=()):
     return run
 
 
-_term("d1_branches", "branches", lambda: cp.branches(SRC, LANG).cast("double"))
-_term("d2_nesting", "nesting", lambda: cp.nesting_term(cp.nesting(SRC, LANG)))
+_term("d1_branches", "branches", lambda: cp.branches(src(), lang()).cast("double"))
+_term("d2_nesting", "nesting", lambda: cp.nesting_term(cp.nesting(src(), lang())))
 _term("d3_size", "size", lambda: cp.size_term(F.col("n")))
-_term("d4_recursion", "recursion", lambda: cp.recursion_term(SRC))
-_term("d5_callbacks", "callbacks", lambda: cp.callback_term(SRC, LANG).cast("double"))
-_term("d6_ternaries", "ternaries", lambda: cp.ternary_term(SRC))
-_term("d7_frameworks", "frameworks", lambda: cp.framework_term(SRC))
-_term("d8_params", "params", lambda: cp.param_term(cp.max_params(SRC, LANG)))
+_term("d4_recursion", "recursion", lambda: cp.recursion_term(src()))
+_term("d5_callbacks", "callbacks", lambda: cp.callback_term(src(), lang()).cast("double"))
+_term("d6_ternaries", "ternaries", lambda: cp.ternary_term(src()))
+_term("d7_frameworks", "frameworks", lambda: cp.framework_term(src()))
+_term("d8_params", "params", lambda: cp.param_term(cp.max_params(src(), lang())))
 
 
 @query("d9_complexity", f"SELECT repo_id, path, seq, {BUCKET_SQL} AS complexity FROM {{scored}}")
@@ -199,8 +206,8 @@ def d9(spark, sf):
 @query("d10_user_rules", "SELECT repo_id, path, seq, round(branches, 6) AS branches, round(frameworks, 6) AS frameworks FROM {user_scored}")
 def d10(spark, sf):
     rules = cx.DEFAULT_RULES.extend(branches={"go": r"return"}, hints={"repo_layer": r"repo\."}, frameworks={"repo_layer": [(r"\.save\(", 2.5)]})
-    return out(scored_inputs(spark, sf).select("repo_id", "path", "seq", F.round(cp.branches(SRC, LANG, rules).cast("double"), 6).alias("branches"),
-                                               F.round(cp.framework_term(SRC, rules), 6).alias("frameworks")))
+    return out(scored_inputs(spark, sf).select("repo_id", "path", "seq", F.round(cp.branches(src(), lang(), rules).cast("double"), 6).alias("branches"),
+                                               F.round(cp.framework_term(src(), rules), 6).alias("frameworks")))
 
 
 define("user_scored", f"""
