@@ -10,7 +10,8 @@
 
 A passage of ``LENGTH`` words that two documents share holds a common anchor by construction, at most
 LENGTH - GRAM words from its start. It is found unless, at each of its anchors, ``NEIGHBOURS``
-closer suffixes on each side in both orders hide it that do not themselves reach ``LENGTH`` words.
+closer suffixes on each side in both orders hide it that do not themselves reach ``LENGTH`` words, or unless it
+repeats one short phrase: there only one anchor in seventeen words is kept, so up to sixteen words may not line up.
 """
 
 import numpy as np

@@ -74,8 +74,9 @@ def cascade(universe: DataFrame, listed: DataFrame) -> list[tuple[bytes, int]]:
 
     Both sides shrink from level to level, to about one key in a hundred.
     """
-    # one pass joins the two key sets when the filter is built; the judged rows are never joined
-    marked = written(universe.join(listed.withColumn("in", F.lit(True)), "key", "left").select("key", F.coalesce("in", F.lit(False)).alias("in")), "keys")
+    both = universe.select("key", F.lit(False).alias("in"), F.lit(True).alias("seen")).unionByName(
+        listed.select("key", F.lit(True).alias("in"), F.lit(False).alias("seen")))
+    marked = written(both.groupBy("key").agg(F.bool_or("in").alias("in"), F.bool_or("seen").alias("seen")).where("seen").select("key", "in"), "keys")
     levels, encoded, others = [], marked.where("in").select("key"), marked.where("not in").select("key")
     while True:
         count = encoded.count()
