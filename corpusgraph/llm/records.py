@@ -11,7 +11,9 @@ that runs again writes a file of another name; only files that the index names c
 """
 
 import re
+import string
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -26,9 +28,9 @@ from .text import small
 
 END_ID = 1
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_WORDS = {}
-#: Words whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 400_000
+_ENCODERS = {}
+#: Words, and words without case and closing marks, whose ids a worker remembers; beyond that it starts afresh.
+REMEMBERED, PARTS = 200_000, 1_000_000
 
 
 def masked(data: bytes) -> int:
@@ -53,42 +55,63 @@ def unframed(data: bytes, offset: int = 0) -> bytes:
     return payload
 
 
+class _Words(dict):
+    """Word -> ids as packed bytes, filled on demand."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.parts = encode, {}
+
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
+            got = self.parts[part] = self.encode(part)
+        return got
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        body = word.rstrip(string.punctuation)
+        # a letter that normalising turns into a letter and a combining mark does not end a run of marks
+        if not body[-1:].isalnum() or len(unicodedata.normalize("NFC", body[-1].lower())) > 1:
+            body = word
+        tail = word[len(body):]
+        got = self._part(body.lower() if body.isascii() else body) + (self._part(tail) if tail else b"")
+        self[word] = got
+        return got
+
+
 class Encoder:
     """Ids of whole texts as packed little-endian bytes.
 
-    The tokenizer splits at white space before anything else, and no step of it looks across, so a text's
-    ids are its words' ids in order; each word is encoded once and remembered. Texts with one of the
-    tokenizer's own added strings, or with control characters that Python takes for space, are encoded whole.
+    The tokenizer splits at white space and between letters or digits and marks before anything else, and no
+    step of it looks across, so a text's ids are its words' ids in order, and a word's are those of its body and
+    its closing marks; each is encoded once and remembered. Texts with one of the tokenizer's own added strings,
+    or with control characters that Python takes for space, are encoded whole.
     """
 
     def __init__(self, path: str):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.end = np.array([END_ID], self.kind).tobytes()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = {}
+        self.words = _Words(self._whole)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(a in t for a in self.added) or _ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*(w for w in split if w)).difference(self.known))
-        for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[word] = np.array(got.ids, self.kind).tobytes()
-        find = self.known.__getitem__
-        return [(self._whole(t) if w is None else b"".join(map(find, w))) + self.end for t, w in zip(texts, split)]
+        find = self.words.__getitem__
+        return [(self._whole(t) if any(a in t for a in self.added) or _ODD_SPACE.search(t) else b"".join(map(find, t.split()))) + self.end for t in texts]
 
 
 def _encoder(path: str) -> Encoder:
-    if path not in _WORDS:
-        _WORDS[path] = Encoder(path)
-    return _WORDS[path]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str = None) -> DataFrame:
