@@ -58,7 +58,7 @@ def scored(docs: DataFrame, model, score) -> DataFrame:
     kept = docs.select(*[c for c in docs.columns if c != "score"], F.lit(0.0).alias("score"))
 
     def run(batches):
-        for part in small(batches):
+        for part in small(batches, limit=1 << 18):
             got = score(part.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.float64())], names=part.schema.names)
     return kept.mapInArrow(run, kept.schema)
