@@ -6,6 +6,7 @@ its amount is capped there and the others make up for it. A cell's probability i
 and a document is kept if a uniform number hashed from its id is below that.
 
 Values outside the targets fall together as ``OTHER``, so the number of cells is bounded by the parameters.
+Unless the targets name it, ``OTHER`` aims at its share of the corpus and the named values share the rest.
 """
 
 import hashlib
@@ -72,7 +73,8 @@ def _value(dimension: str, targets: dict) -> Column:
 def rake(present: np.ndarray, targets: list[np.ndarray], budget: float, rounds: int = ROUNDS) -> np.ndarray:
     """Fitted tokens of an array of cells, one axis per dimension; ``targets`` are shares along each axis.
 
-    Shares of values without any tokens go to the others in proportion. No cell exceeds what is present.
+    Shares of values without any tokens go to the others in proportion; an axis where no value with tokens has a
+    share is left as it is. No cell exceeds what is present.
     """
     x = present.astype(float) * (budget / max(present.sum(), 1))
     for _ in range(rounds):
@@ -80,7 +82,9 @@ def rake(present: np.ndarray, targets: list[np.ndarray], budget: float, rounds:
             rest = tuple(a for a in range(x.ndim) if a != axis)
             there = present.sum(rest) > 0
             goal = np.where(there, share, 0)
-            goal = goal / max(goal.sum(), 1e-300) * budget
+            if not goal.sum() > 0:
+                continue
+            goal = goal / goal.sum() * budget
             now = x.sum(rest)
             factor = np.divide(goal, now, out=np.ones_like(goal), where=now > 0)
             shape = [1] * x.ndim
@@ -89,6 +93,16 @@ def rake(present: np.ndarray, targets: list[np.ndarray], budget: float, rounds:
     return x
 
 
+def shares(named: dict[str, float], values: list[str], tokens: np.ndarray) -> np.ndarray:
+    """Target share of each of ``values``, which hold ``tokens``; an ``OTHER`` that is not named keeps its share of the tokens."""
+    out = np.array([named.get(v, 0.0) for v in values])
+    if OTHER not in named and tokens.sum() > 0:
+        own = tokens[values.index(OTHER)] / tokens.sum()
+        out = out / max(out.sum(), 1e-300) * (1 - own)
+        out[values.index(OTHER)] = own
+    return out
+
+
 def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]], keep: float) -> DataFrame:
     """One row for each cell: its value in each dimension (prefixed ``_``) and ``probability``."""
     dims = list(targets)
@@ -97,7 +111,8 @@ def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]], keep: f
     present = np.zeros([len(v) for v in values])
     for r in cells.collect():  # at most the product of the targets' lengths
         present[tuple(v.index(r[d]) for d, v in zip(dims, values))] = r["tokens"] or 0
-    fitted = rake(present, [np.array([targets[d].get(x, 0.0) for x in v]) for d, v in zip(dims, values)], keep * present.sum())
+    along = [present.sum(tuple(a for a in range(present.ndim) if a != axis)) for axis in range(present.ndim)]
+    fitted = rake(present, [shares(targets[d], v, n) for d, v, n in zip(dims, values, along)], keep * present.sum())
     share = np.divide(fitted, present, out=np.full_like(fitted, keep), where=present > 0)
     out = [(*names, float(share[at])) for names, at in zip(itertools.product(*values), np.ndindex(*share.shape))]
     return rows.sparkSession.createDataFrame(out, ", ".join(f"_{d} string" for d in dims) + ", probability double")
@@ -106,7 +121,8 @@ def probabilities(rows: DataFrame, targets: dict[str, dict[str, float]], keep: f
 def mixed(docs: DataFrame, rows: DataFrame, targets: dict[str, dict[str, float]], keep: float, seed: int = 1) -> DataFrame:
     """``rows`` (``described`` or ``labelled``) plus weight, probability and kept; ``docs`` gives the token counts.
 
-    ``targets``: dimension -> value -> share of the kept tokens, ``OTHER`` for values not named (0 if absent);
+    ``targets``: dimension -> value -> share of the kept tokens, ``OTHER`` for values not named (if absent, their
+    share of all tokens, and the named values share the rest);
     ``keep``: the share of all tokens that the sample is to have. weight = probability / ``keep``. Nulls count
     as ``OTHER``; documents without tokens take the probability of their cell (``keep`` in a cell without tokens).
     Equal ids are kept or left together. An empty table gives no rows.

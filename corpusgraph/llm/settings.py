@@ -1,10 +1,8 @@
 """Production parameters of the registered queries and of the pipeline."""
 
-from .mixing import OTHER
-
-#: Source, language and topic shares of the mix, and the share of all tokens it keeps.
+#: Source, language and topic shares of the mix, and the share of all tokens it keeps. Other values keep their share of the corpus.
 MIX = {
-    "source": {f"src{i}": 0.05 for i in range(20)} | {OTHER: 0.0},
+    "source": {f"src{i}": 0.05 for i in range(20)},
     "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15},
     "topic": {f"topic{i}": 0.25 for i in range(4)},
 }

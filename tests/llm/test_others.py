@@ -46,6 +46,23 @@ def test_mixing_odd_rows(spark, odd):
     assert mixing.mixed(odd.limit(0), mixing.labelled(odd.limit(0)), settings.MIX, 0.5).count() == 0
 
 
+def test_mixing_samples_values_outside_the_targets(spark, table):
+    def row(i):
+        source, lang = f"src{i // 10 % 20}", ["en", "en", "de", "fr", "es"][i // 200 % 5]
+        return (i, "up to it " * 10 if i % 10 == 4 else prose(i, 40), {2: None, 3: "it"}.get(i % 10, lang), {0: "blog", 1: None}.get(i % 10, source))
+    docs = table([row(i) for i in range(4000)])
+    rows = mixing.mixed(docs, mixing.described(docs), settings.MIX, 0.5).collect()
+    assert all(r.probability > 0 for r in rows)
+    kept = sum(r.tokens for r in rows if r.kept)
+    assert abs(kept / sum(r.tokens for r in rows) - 0.5) < 0.04
+    for outside, share in ((lambda r: r.source in (None, "blog"), 0.205), (lambda r: r.lang in (None, "it"), 0.205), (lambda r: r.topic == mixing.OTHER, 0.077)):
+        assert abs(sum(r.tokens for r in rows if r.kept and outside(r)) / kept - share) < 0.03
+    none = table([(i, prose(i, 40), None, "blog") for i in range(400)])
+    assert 120 < sum(r.kept for r in mixing.mixed(none, mixing.described(none), settings.MIX, 0.5).collect()) < 280
+    named = {"source": {"src0": 1.0, mixing.OTHER: 0.0}}
+    assert {r.probability for r in mixing.mixed(none, mixing.described(none), named, 0.5).collect()} == {0.5}
+
+
 BPE = settings.word_bpe()
 
 
