@@ -142,6 +142,35 @@ def test_passages_against_all_windows(spark, table):
     assert got == want
 
 
+def passages(docs):
+    """Words of each document in windows of 50 that another one has too."""
+    own, want = {}, {}
+    split = {i: re.findall(r"\w+", t.lower()) for i, t in docs}
+    for i, w in split.items():
+        for p in range(len(w) - 49):
+            own.setdefault(tuple(w[p:p + 50]), set()).add(i)
+    for i, w in split.items():
+        marked = {q for p in range(len(w) - 49) if len(own[tuple(w[p:p + 50])]) > 1 for q in range(p, p + 50)}
+        if marked:
+            want[i] = marked
+    return want
+
+
+def test_passages_behind_closer_neighbours(spark, table):
+    r = np.random.default_rng(5)
+    lines = [prose(7000 + k, 19) for k in range(9)]
+    docs = [(i, " ".join(lines[k] for k in r.integers(0, 9, 5)) + " " + prose(8000 + i, 12)) for i in range(300)]
+    got = {d.doc_id: {q for s in d.spans for q in range(s.start, s.end)} for d in suffixes.repeated(table(docs)).collect()}
+    assert got == passages(docs)
+
+
+def test_passages_of_repeated_phrases(spark, table):
+    docs = [(n, f"{prose(100 + n, 30)} {' '.join((prose(n // 4, 3 + n // 4 % 9).split() * 40)[:44 + 5 * (n % 4)])} {prose(500 + n, 30)}") for n in range(48)]
+    docs += [(900 + n, " ".join(prose(40, 45).split()[:45 - n]) + " lo" * (20 + 3 * n) + " " + prose(600 + n, 20)) for n in range(12)]
+    got = {d.doc_id: {q for s in d.spans for q in range(s.start, s.end)} for d in suffixes.repeated(table(docs)).collect()}
+    assert got == passages(docs)
+
+
 def test_passages_across_task_borders(spark, table, monkeypatch):
     passage = prose(1, 70)
     docs = table([(i, f"{prose(10 + i, 20)} {passage} {prose(500 + i, 20)}") for i in range(300)]).repartition(9)
