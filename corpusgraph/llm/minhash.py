@@ -193,7 +193,7 @@ def compared(rows: DataFrame, texts: DataFrame, total: int, counts, threshold: f
         sums = np.bincount(of, weight * tf, minlength=len(texts))
         level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
         of, weight = np.repeat(of, tf), np.repeat(weight, tf)
-        column = mix(np.repeat(shingle, tf) + (level.astype(U64) << U64(_KEY_BITS)))
+        column = mix(np.repeat(shingle, tf) ^ mix(level.astype(U64)))
         _, first, place, times = np.unique(column, return_index=True, return_inverse=True, return_counts=True)
         common = np.flatnonzero(times > 1)
         number = np.full(len(times), -1)

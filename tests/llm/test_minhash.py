@@ -102,3 +102,12 @@ def test_document_counts(spark, table):
     keys = minhash.shingles(pa.array(["common words that all share"]))[1]
     assert total == 40 and min(counts[r][p[0]] for r, p in enumerate(sketch.places(keys))) == 40
     assert sketch.idf(keys, total, counts)[0] == 1
+
+
+def test_blocks_compare_long_repetitive_texts(spark):
+    texts = ["lo " * 20_000, "lo " * 19_900 + prose(1, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    total, counts = minhash.corpus_counts(docs)
+    rows = spark.createDataFrame([(b"b", 0, 0, bytes([i]), bytes([i]), 0) for i in range(2)], "bucket binary, lo int, hi int, v binary, root binary, tile int")
+    contents = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "content binary, text string")
+    assert minhash.compared(rows, contents, total, counts, 0.8).count() == 1
