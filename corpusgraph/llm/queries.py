@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions.tables import written
 
-from . import chat, labelled, minhash, mixing, quality, records, settings, suffixes, templates, toxicity, urls, vectors
+from . import chat, labelled, minhash, mixing, quality, records, resampling, settings, suffixes, templates, toxicity, urls, vectors
 from .registry import QUERIES, TWINS, query
 
 
@@ -123,6 +123,45 @@ def op10(spark, sf_dir):
     return chat.digests(written(chat.formatted(turns.unionByName(one)), "chats")).drop("error")
 
 
+RESAMPLING_TWIN = rf"""
+WITH texts AS (
+  SELECT true AS source, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+worded AS (
+  SELECT source, id, regexp_extract_all(translate(coalesce(text, ''), '{urls._UPPER}', '{urls._LOWER}'),
+                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+runs AS (
+  SELECT source, id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS run FROM worded),
+bits AS (  -- eight steps for each byte of a run: the byte comes in before the first one
+  SELECT run, xor(list_reduce(flatten(list_transform(range(1, strlen(run) + 1),
+      lambda i: [CAST('0x' || hex(encode(run))[2 * i - 1:2 * i] AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+      lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT run FROM runs)),
+placed AS (SELECT source, id, bucket FROM runs JOIN bits USING (run)),
+sums AS (
+  SELECT bucket, count(*) FILTER (source) AS s, count(*) FILTER (NOT source) AS t FROM placed GROUP BY bucket),
+totals AS (SELECT sum(s) + 10000.0::DOUBLE AS s, sum(t) + 10000.0::DOUBLE AS t FROM sums),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((sums.t + 1.0::DOUBLE) * totals.s) / ((sums.s + 1.0::DOUBLE) * totals.t))) AS BIGINT) AS gain
+  FROM sums, totals),
+weights AS (
+  SELECT id AS doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM placed JOIN gains USING (bucket) WHERE source GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, len(words) AS n_words, coalesce(n, 0) AS n_features,
+    coalesce(CAST((total - ((total % n) + n) % n) // n AS BIGINT), 0) AS weight,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || CAST(id AS VARCHAR))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise
+  FROM worded LEFT JOIN weights ON id = weights.doc_id WHERE source),
+able AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT scored.doc_id, n_words, n_features, weight, weight + noise AS score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN able ON scored.doc_id = able.doc_id"""
+
+
+@query("op13_resampling", RESAMPLING_TWIN)
+def op13(spark, sf_dir):
+    """A quarter of the documents, drawn like the benchmark's texts; every document's weight and score."""
+    return resampling.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     """The stages of ``corpus_pipeline`` one after the other."""
