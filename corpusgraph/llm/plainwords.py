@@ -25,7 +25,7 @@ class PlainWords:
     data: np.ndarray   # the buffer
     start: np.ndarray  # first byte of each word, and at the end the size of the buffer
     first: np.ndarray  # index of each text's first word, and at the end the number of words
-    raw: np.ndarray    # byte of each word's first byte in the texts laid end to end
+    raw: np.ndarray    # byte of its text at which each word begins
 
     @property
     def count(self) -> np.ndarray:
@@ -50,4 +50,4 @@ def plain_words(texts: pa.Array) -> PlainWords:
     begins = np.flatnonzero((kept != 32) & np.concatenate(([True], kept[:-1] == 32))) if len(kept) else np.zeros(0, np.int64)
     raw = at[begins]
     first = np.searchsorted(raw, offsets)
-    return PlainWords(kept, np.append(begins, len(kept)), first, raw - (np.searchsorted(offsets, raw, side="right") - 1))
+    return PlainWords(kept, np.append(begins, len(kept)), first, raw - np.repeat(offsets[:-1], np.diff(first)))

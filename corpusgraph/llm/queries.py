@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions.tables import written
 
-from . import chat, labelled, minhash, mixing, quality, records, resampling, settings, suffixes, templates, toxicity, urls, vectors
+from . import chat, labelled, licences, minhash, mixing, quality, records, resampling, settings, suffixes, templates, toxicity, urls, vectors
 from .registry import QUERIES, TWINS, query
 
 
@@ -123,6 +123,12 @@ def op10(spark, sf_dir):
     return chat.digests(written(chat.formatted(turns.unionByName(one)), "chats")).drop("error")
 
 
+@query("op12_licences")
+def op12(spark, sf_dir):
+    """Licence phrases, tags and expressions of every document."""
+    return licences.summarised(licences.scanned(table(spark, sf_dir, "documents")))
+
+
 RESAMPLING_TWIN = rf"""
 WITH texts AS (
   SELECT true AS source, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
