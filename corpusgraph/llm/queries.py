@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions.tables import written
 
-from . import chat, labelled, licences, minhash, mixing, quality, records, resampling, settings, suffixes, templates, toxicity, urls, vectors
+from . import alignment, chat, labelled, licences, minhash, mixing, quality, records, resampling, settings, suffixes, templates, toxicity, urls, vectors
 from .registry import QUERIES, TWINS, query
 
 
@@ -123,6 +123,13 @@ def op10(spark, sf_dir):
     return chat.digests(written(chat.formatted(turns.unionByName(one)), "chats")).drop("error")
 
 
+@query("op11_alignment")
+def op11(spark, sf_dir):
+    """Two tokenizers over every document: groups of tokens with common ends, links, and how usual their pairs are."""
+    rows = written(alignment.aligned(table(spark, sf_dir, "documents"), settings.byte_bpe(), settings.piece_bpe()), "aligned")
+    return alignment.digests(rows, alignment.pair_counts(rows))
+
+
 @query("op12_licences")
 def op12(spark, sf_dir):
     """Licence phrases, tags and expressions of every document."""

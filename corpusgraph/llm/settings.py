@@ -9,7 +9,19 @@ MIX = {
 KEEP = 0.5
 
 
-def word_bpe() -> str:
-    """Path of the tokenizer file (installed on every machine)."""
+def _tokenizer(name: str) -> str:
+    """Path of a tokenizer file (installed on every machine)."""
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def word_bpe() -> str:
+    return _tokenizer("word_bpe_49k.json")
+
+
+def byte_bpe() -> str:
+    return _tokenizer("byte_bpe_50k.json")
+
+
+def piece_bpe() -> str:
+    return _tokenizer("piece_bpe_32k.model")
