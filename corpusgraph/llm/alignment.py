@@ -18,14 +18,17 @@ from corpusgraph.functions.tables import written
 
 from .text import small
 
-#: Parts of texts whose ids a worker remembers, and the longest of them in characters; beyond the number it starts afresh.
-REMEMBERED, SHORT = 300_000, 64
+#: Characters of texts' parts whose ids a worker remembers; beyond that it starts afresh.
+REMEMBERED = 4_000_000
 #: Pairs of ids that are sent to every task, at most (17 bytes each with its count); the others are joined by a shuffle.
 SENT = 1 << 20
 #: A space between characters that neither library takes for white space: no token of either side reaches over it.
 _BLANK = "\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\u2028\\u2029\\u2060\\ufeff"
 _BEFORE_SPACE = re.compile(f"(?<=[^{_BLANK}])(?= [^{_BLANK}])")
-_TEXT = 1 << 20
+_ODD_SPACE = re.compile(f" [{_BLANK}]|[{_BLANK}] ")
+_EDGE = re.compile(f"[{_BLANK}]")
+#: Bytes of texts or ids worked on at once, and characters of parts encoded at once.
+_TEXT, _WHOLE = 1 << 19, 1 << 14
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -85,43 +88,106 @@ class Encoders:
     def __init__(self, a: str, b: str):
         self.sides = ByteLevel(a), Pieces(b)
         self.sizes = [np.array([len(w) for w in side.bytes], np.int64) for side in self.sides]
+        self.spellings = [pa.array(side.bytes, pa.large_binary()) for side in self.sides]
         self.by_part = all(side.splits_at_spaces for side in self.sides)
-        self.known = {}
+        self._forget()
 
     def _spelt(self, texts: list[str]) -> list:
-        """(ids of A, ids of B) packed, or None, per text."""
+        """[ids of A, ids of B], or None, per text; each is encoded by itself."""
         out = []
         for text, *ids in zip(texts, *(side.encode(texts) for side in self.sides)):
             want = b" " + text.encode()
             same = all(b"".join(map(side.bytes.__getitem__, i)) == want for side, i in zip(self.sides, ids))
-            out.append(tuple(np.array(i, np.int32).tobytes() for i in ids) if same else None)
+            out.append([np.array(i, np.int32) for i in ids] if same else None)
         return out
 
-    def _parts(self, text: str) -> list[str]:
-        return [p[1:] for p in _BEFORE_SPACE.split(" " + text)]
+    def _forget(self):
+        """No parts: each known part has a number, by which its ids are found in one array a side."""
+        self.number, self.characters = {}, 0
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.begin = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.broken = np.zeros(0, bool)
+
+    def _learn(self, parts: list[str]):
+        plain = [p for p in parts if p and not _EDGE.match(p[0]) and not _EDGE.match(p[-1])] if self.by_part else []
+        other = list(set(parts).difference(plain))
+        # libraries need many times a text's size while they encode it
+        steps = np.cumsum([len(p) for p in plain]) // _WHOLE
+        cuts = [0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), len(plain)] if plain else [0]
+        for some, joined in [(plain[a:b], True) for a, b in zip(cuts, cuts[1:])] + [(other, False)]:
+            if not some:
+                continue
+            got = self._spelt_parts(some) if joined else self._spelt(some)
+            broken = [False] * len(some)
+            if isinstance(got, list):  # one by one
+                none = np.zeros(0, np.int32)
+                broken = [g is None for g in got]
+                pairs = [g or (none, none) for g in got]
+                got = [(np.concatenate([p[s] for p in pairs]), np.cumsum([len(p[s]) for p in pairs])) for s in (0, 1)]
+            for s in (0, 1):
+                self.begin[s] = np.append(self.begin[s], len(self.ids[s]) + got[s][1])
+                self.ids[s] = np.append(self.ids[s], got[s][0])
+            self.broken = np.append(self.broken, broken)
+            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some))))
+            self.characters += sum(map(len, some))
+
+    def _spelt_parts(self, parts: list[str]):
+        """Per side (ids, end of each part in them): parts with a space before each are encoded end to end, as both sides
+        have a border before such a space. If the result does not show that, the parts are encoded one by one."""
+        whole = " ".join(parts)
+        want = np.frombuffer(b" " + whole.encode(), np.uint8)
+        borders = np.cumsum([len(p.encode()) + 1 for p in parts])
+        sides = []
+        for side, spelling, sizes in zip(self.sides, self.spellings, self.sizes):
+            ids = np.array(side.encode([whole])[0], np.int32)
+            ends = np.cumsum(sizes[ids])
+            cuts = np.searchsorted(ends, borders)
+            if not len(ids) or ends[-1] != len(want) or (ends[cuts] != borders).any() or not np.array_equal(_joined(spelling, ids), want):
+                return self._spelt(parts)
+            sides.append((ids, cuts + 1))
+        return tuple(sides)
 
-    def encode(self, texts: list) -> list[tuple[bytes, bytes]]:
-        """Packed ids of both sides per text (null: none)."""
-        none = b"", b""
+    def _parts(self, text: str) -> list[str]:
+        """The text is these parts, joined by spaces."""
         if not self.by_part:
-            got = iter(self._spelt([t for t in texts if t]))
-            return [(next(got) or none) if t else none for t in texts]
-        parts = [self._parts(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = {p for own in parts for p in own if p not in self.known}
-        short = [p for p in new if len(p) <= SHORT]
-        self.known.update(zip(short, self._spelt(short)))
-        long = sorted(new.difference(short))
-        found = dict(zip(long, self._spelt(long)))
-        out = []
-        for text, own in zip(texts, parts):
-            got = [self.known[p] if len(p) <= SHORT else found[p] for p in own]
-            if None in got:  # parts that do not spell their text: the whole text decides
-                out.append(self._spelt([text])[0] or none)
-            else:
-                out.append((b"".join([g[0] for g in got]), b"".join([g[1] for g in got])))
-        return out
+            return [text]
+        if _ODD_SPACE.search(text) or _EDGE.match(text[0]) or _EDGE.match(text[-1]):
+            return [p[1:] for p in _BEFORE_SPACE.split(" " + text)]
+        return text.split(" ")
+
+    def encode(self, texts: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per side: ids of all texts end to end, and how many each text has (null: none)."""
+        if self.characters > REMEMBERED:
+            self._forget()
+        own, parts = [], []
+        for text in texts:
+            cut = self._parts(text) if text else []
+            own.append(len(cut))
+            parts += cut
+        self._learn(list(set(parts).difference(self.number)))
+        numbers = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        first = np.append(0, np.cumsum(own))
+        bad = np.diff(np.append(0, np.cumsum(self.broken[numbers]))[first]) > 0
+        ids, counts = [], []
+        for s in (0, 1):
+            n = np.diff(self.begin[s])[numbers]
+            total = np.append(0, np.cumsum(n))
+            ids.append(self.ids[s][np.repeat(self.begin[s][numbers] - total[:-1], n) + np.arange(total[-1])])
+            counts.append(np.diff(total[first]))
+        if bad.any():  # parts that do not spell their text: the whole text decides
+            again = iter(self._spelt([texts[i] for i in np.flatnonzero(bad)]))
+            none = np.zeros(0, np.int32)
+            cut = [np.split(ids[s], np.cumsum(counts[s])[:-1]) for s in (0, 1)]
+            whole = [(next(again) or (none, none)) if b else (cut[0][i], cut[1][i]) for i, b in enumerate(bad)]
+            ids = [np.concatenate([w[s] for w in whole]) for s in (0, 1)]
+            counts = [np.array([len(w[s]) for w in whole]) for s in (0, 1)]
+        return ids, counts
+
+
+def _joined(spelling: pa.Array, ids: np.ndarray) -> np.ndarray:
+    """Bytes of the ids end to end."""
+    data = spelling.take(pa.array(ids)).buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
 _ENCODERS = {}
@@ -204,59 +270,78 @@ def intersected(ends: list[np.ndarray], firsts: list[np.ndarray]) -> tuple[np.nd
     return begin_of, end_of - begin_of + 1
 
 
-ROW = "row long, doc_id long, a array<int>, b array<int>, overlaps array<int>, opens array<boolean>"
+ROW = "row long, doc_id long, width int, a binary, b binary, overlaps binary"
+
+
+def _packed(values: np.ndarray, counts: np.ndarray, kind: str) -> pa.Array:
+    """Numbers of each text as one binary value."""
+    data = values.astype(kind)
+    offsets = np.append(0, np.cumsum(counts)) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
 def aligned(docs: DataFrame, a: str, b: str) -> DataFrame:
     """Tokens of every row of ``docs`` (doc_id, text, ...) under two tokenizers (paths on every machine), and how they align.
 
-    Columns: row (unique), doc_id, a and b (ids), and for each token of A: overlaps (how many tokens of B share a byte
-    with it) and opens (it begins where a token of B begins, so a group does). That is the whole alignment: the first token
-    of B that a token of A overlaps is the last one that the token before it overlaps, or the next one where a group opens.
+    Columns: row (unique), doc_id, width (bytes of an id), a and b (ids, little endian), overlaps (two bytes for each token
+    of A: twice the number of tokens of B that share a byte with it, plus 1 if it begins where a token of B begins, so that
+    it opens a group). That is the whole alignment: the first token of B that a token of A overlaps is the last one that the
+    token before it overlaps, or the next one where a group opens. ``arrays`` gives the same as lists.
     Null and empty texts, and texts that either side cannot spell (space and text), have no tokens; very long texts are
     aligned whole, other columns are ignored, rows that repeat are aligned each, an empty table gives no rows.
     """
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())),
-                        ("overlaps", pa.list_(pa.int32())), ("opens", pa.list_(pa.bool_()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("width", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("overlaps", pa.binary())])
 
     def run(batches):
         both = encoders(a, b)
+        width = 2 if max(map(len, both.sizes)) <= 1 << 16 else 4
         for part in small(batches, limit=_TEXT):
-            packed = both.encode(part.column("text").to_pylist())
-            ids = [np.frombuffer(b"".join([p[s] for p in packed]), np.int32) for s in (0, 1)]
-            firsts = [np.append(0, np.cumsum([len(p[s]) // 4 for p in packed])) for s in (0, 1)]
+            ids, counts = both.encode(part.column("text").to_pylist())
+            firsts = [np.append(0, np.cumsum(c)) for c in counts]
             ends = []
             for s in (0, 1):
                 total = np.append(0, np.cumsum(both.sizes[s][ids[s]]))
-                ends.append(total[1:] - np.repeat(total[firsts[s][:-1]], np.diff(firsts[s])))
+                ends.append(total[1:] - np.repeat(total[firsts[s][:-1]], counts[s]))
             begin, overlaps = intersected(ends, firsts)
             opens = np.ones(len(begin), bool)
             opens[1:] = begin[1:] == begin[:-1] + overlaps[:-1]
-            lists = lambda s, values: pa.ListArray.from_arrays(pa.array(firsts[s], pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), lists(0, ids[0]), lists(1, ids[1]),
-                                              lists(0, overlaps.astype(np.int32)), lists(0, opens)], schema=schema)
+            yield pa.RecordBatch.from_arrays([
+                part.column("row"), part.column("doc_id"), pa.array(np.full(len(part), width, np.int32)), _packed(ids[0], counts[0], f"<u{width}"),
+                _packed(ids[1], counts[1], f"<u{width}"), _packed(2 * overlaps + opens, counts[0], "<u2")], schema=schema)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, ROW)
 
 
+def arrays(aligned: DataFrame) -> DataFrame:
+    """row, doc_id, a, b, overlaps, opens of ``aligned`` as arrays."""
+    def run(batches):
+        for batch in batches:
+            x = Aligned(batch)
+            lists = lambda s, values: pa.ListArray.from_arrays(pa.array(x.first[s], pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), lists(0, x.ids[0].astype(np.int32)), lists(1, x.ids[1].astype(np.int32)),
+                                              lists(0, x.overlaps.astype(np.int32)), lists(0, x.opens)], names=["row", "doc_id", "a", "b", "overlaps", "opens"])
+    return aligned.mapInArrow(run, "row long, doc_id long, a array<int>, b array<int>, overlaps array<int>, opens array<boolean>")
+
+
 class Aligned:
     """The columns of an Arrow batch of ``aligned`` as flat arrays, and all links between tokens."""
 
     def __init__(self, batch: pa.RecordBatch):
-        self.first = [self._offsets(batch.column(c)) for c in ("a", "b")]
-        self.ids = [self._flat(batch.column(c)) for c in ("a", "b")]
-        self.overlaps, self.opens = self._flat(batch.column("overlaps")).astype(np.int64), self._flat(batch.column("opens"))
+        width = batch.column("width")[0].as_py() if len(batch) else 2
+        self.ids, self.first = zip(*(self._flat(batch.column(c), width) for c in ("a", "b")))
+        steps, _ = self._flat(batch.column("overlaps"), 2)
+        self.overlaps, self.opens = (steps >> 1).astype(np.int64), (steps & 1).astype(bool)
         # first token of B under each token of A
-        self.begin = np.cumsum(np.append(0, self.overlaps[:-1]) - np.append(False, ~self.opens[1:])) if len(self.overlaps) else np.zeros(0, np.int64)
+        self.begin = np.cumsum(np.append(0, self.overlaps[:-1]) - np.append(False, ~self.opens[1:])) if len(steps) else np.zeros(0, np.int64)
         self.links = np.append(0, np.cumsum(self.overlaps))
 
     @staticmethod
-    def _offsets(lists: pa.Array) -> np.ndarray:
-        return (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int64)
-
-    @staticmethod
-    def _flat(lists: pa.Array) -> np.ndarray:
-        return lists.flatten().to_numpy(zero_copy_only=False)
+    def _flat(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers, and each row's first one."""
+        offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1].astype(np.int64)
+        data = values.buffers()[2]
+        whole = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        return np.frombuffer(whole.tobytes(), f"<u{width}"), (offsets - offsets[0]) // width
 
     @property
     def linked_a(self) -> np.ndarray:
@@ -276,15 +361,9 @@ class Aligned:
         return np.repeat(np.arange(len(self.first[0]) - 1), self.links[self.first[0][1:]] - self.links[self.first[0][:-1]])
 
 
-def _tokens(batches, limit: int = 1 << 19):
-    """Parts of Arrow batches with about ``limit`` tokens of A, one text at least."""
-    for batch in batches:
-        ends = batch.column("a").offsets.to_numpy()[1:] - batch.column("a").offsets[0].as_py()
-        at = 0
-        while at < len(ends):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
+def _tokens(batches):
+    """Parts of Arrow batches with about ``_TEXT`` bytes of ids, one text at least."""
+    return small(batches, column="a", limit=_TEXT, rows=1 << 16)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -302,7 +381,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
             fresh = np.ones(len(order), bool)
             fresh[1:] = (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.bincount(pair[fresh], minlength=len(pairs)))], names=["pair", "count"])
-    counts = written(aligned.select("a", "b", "overlaps", "opens").mapInArrow(run, "pair long, count long")
+    counts = written(aligned.select("width", "a", "b", "overlaps").mapInArrow(run, "pair long, count long")
                      .groupBy("pair").agg(F.sum("count").alias("count")), "pairs")
     top = counts.groupBy(F.shiftright("pair", 32).alias("id")).agg(F.max("count").alias("top"))
     return written(counts.join(F.broadcast(top), F.shiftright("pair", 32) == top["id"])  # one row per id of A's vocabulary
