@@ -1,11 +1,13 @@
 """Written intermediate tables and session settings."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL = {}
+_LOCAL, _SENT = {}, set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,10 +38,21 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _SENT:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), os.path.basename(package)), "zip", os.path.dirname(package), os.path.basename(package))
+        spark.sparkContext.addPyFile(archive)
+        _SENT.add(application)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings the jobs rely on: re-planning and splitting of skewed joins,
     also where the split costs one more exchange; and no fused stage method that is too
-    large for the JIT compiler (the rule projections are long)."""
+    large for the JIT compiler (the rule projections are long). Python code is sent along."""
+    ship(spark)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")

@@ -2,8 +2,6 @@
 
 from pyspark.sql import Column, functions as F
 
-# Marks match starts; extraction replaces it in its input first, so a text that holds it is read like any other.
-MARK = "﷐"
 NL = "\n"
 
 
@@ -56,28 +54,6 @@ def let(value, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def located(text, pattern) -> Column:
-    """Every match of ``pattern`` (a column) as ``(line, text)``.
-
-    ``text`` starts at the match and runs to the next one, so groups are read from
-    it with the same pattern, anchored. One scan of the input per pattern.
-    """
-    hits = "array<struct<line:int,text:string>>"
-    pieces = F.split(F.regexp_replace(text, pattern, F.lit(MARK + "$0")), MARK)
-
-    def walk(p):
-        # The first piece lies before the first match: it only moves the line counter.
-        return F.aggregate(
-            F.slice(p, 2, F.size(p)),
-            F.struct((F.lit(1) + newlines(F.element_at(p, 1))).alias("line"), F.array().cast(hits).alias("out")),
-            lambda acc, piece: F.struct(
-                (acc["line"] + newlines(piece)).alias("line"),
-                F.concat(acc["out"], F.array(F.struct(acc["line"].alias("line"), piece.alias("text")))).alias("out")),
-        )["out"]
-
-    return let(pieces, walk)
-
-
 def slice_lines(lines, first, last) -> Column:
     """Lines ``first..last`` (1-based, inclusive) of an array, clipped to it."""
     return F.slice(lines, F.greatest(first, F.lit(1)), F.greatest(last - F.greatest(first, F.lit(1)) + 1, F.lit(0)))

@@ -63,12 +63,14 @@ def ternary_term(source) -> Column:
     return tx.count_of(source, cx.TERNARY) * F.lit(cx.TERNARY_WEIGHT)
 
 
-def hinted(source, fw: str, rules=cx.DEFAULT_RULES) -> Column:
-    """Does the framework's hint match? A plain word search spares most texts the pattern."""
+def hinted(source, fw: str, rules=cx.DEFAULT_RULES, lower=None) -> Column:
+    """Does the framework's hint match? A plain word search spares most texts the pattern.
+    ``lower`` is a column that holds the lower-case text; without it, it is computed for each word."""
     test = tx.has(source, rules.hints[fw], "i")
     if rules.hints[fw] != cx.HINTS.get(fw):
         return test
-    words = [F.contains(F.lower(source), F.lit(w)) for w in cx.HINT_WORDS[fw]]
+    lower = F.lower(source) if lower is None else lower
+    words = [F.contains(lower, F.lit(w)) for w in cx.HINT_WORDS[fw]]
     gate = words[0]
     for w in words[1:]:
         gate = gate | w
@@ -80,12 +82,12 @@ def frameworks(source, rules=cx.DEFAULT_RULES) -> Column:
     return F.array_compact(F.array(*[F.when(hinted(source, fw, rules), F.lit(fw)) for fw in rules.hints]))
 
 
-def framework_term(source, rules=cx.DEFAULT_RULES) -> Column:
+def framework_term(source, rules=cx.DEFAULT_RULES, lower=None) -> Column:
     """Weighted rule hits; the rules of a framework run only where its hint does."""
     total = F.lit(0.0)
     for fw in rules.hints:
         hits = sum((tx.count_of(source, p) * F.lit(float(w)) for p, w in rules.frameworks.get(fw, [])), F.lit(0.0))
-        total = total + F.when(hinted(source, fw, rules), hits).otherwise(F.lit(0.0))
+        total = total + F.when(hinted(source, fw, rules, lower), hits).otherwise(F.lit(0.0))
     return total
 
 
@@ -103,7 +105,7 @@ def param_term(params) -> Column:
     return F.greatest(params - cx.FREE_PARAMS, F.lit(0)) * F.lit(cx.PARAM_WEIGHT)
 
 
-def terms(source, language, lines, rules=cx.DEFAULT_RULES) -> dict:
+def terms(source, language, lines, rules=cx.DEFAULT_RULES, lower=None) -> dict:
     return {
         "branches": branches(source, language, rules).cast("double"),
         "nesting": nesting_term(nesting(source, language)),
@@ -111,7 +113,7 @@ def terms(source, language, lines, rules=cx.DEFAULT_RULES) -> dict:
         "recursion": recursion_term(source),
         "callbacks": callback_term(source, language),
         "ternaries": ternary_term(source),
-        "frameworks": framework_term(source, rules),
+        "frameworks": framework_term(source, rules, lower),
         "params": param_term(max_params(source, language)),
     }
 
@@ -125,6 +127,8 @@ def bucket(score, source, lines) -> Column:
 def with_complexity(df: DataFrame, source: str, language: str, lines: str, rules=cx.DEFAULT_RULES) -> DataFrame:
     """Add ``complexity``; an empty language counts as python."""
     lang = F.when(F.coalesce(F.col(language), F.lit("")) == "", F.lit("python")).otherwise(F.col(language))
-    parts = terms(F.col(source), lang, F.col(lines), rules)
+    # the lower-case text has a projection of its own, so that it is computed once
+    df = df.withColumn("_lower", F.lower(F.col(source)))
+    parts = terms(F.col(source), lang, F.col(lines), rules, F.col("_lower"))
     score = sum(list(parts.values())[1:], list(parts.values())[0])
-    return df.withColumn("_score", score).withColumn("complexity", bucket(F.col("_score"), F.col(source), F.col(lines))).drop("_score")
+    return df.withColumn("_score", score).withColumn("complexity", bucket(F.col("_score"), F.col(source), F.col(lines))).drop("_score", "_lower")

@@ -1,21 +1,18 @@
 """Extraction: files in, symbol / import / export / call rows out.
 
-Everything of one file is computed inside its row (arrays), so extraction needs no
-exchange: a file is at most the scan limit in size, which bounds every array.
+Everything of one file is computed inside its row (arrays), so extraction needs no exchange. Matches, lines and block
+ends come from one pass over Arrow batches (``functions/lexer.py``); the groups of the matches are taken apart here.
 """
 
-import json
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text as tx
-from ..functions.blocks import block_ends
+from ..functions import lexer, text as tx
 from ..functions.text import NL, rx
 from ..rules import extraction as ex, scan
 
 STRINGS = "array<string>"
-RULE = "struct<family:string,pos:int,pattern:string,groups:int,name:int,params:int,bases:int>"
-FOUND = "array<struct<family:string,pos:int,indent:int,line:int,at:int,head_end:int,name:string,params:array<string>,decorators:array<string>,bases:array<string>>>"
+FOUND = "array<struct<family:string,pos:int,indent:int,line:int,at:int,end:int,body:int,name:string,params:array<string>,decorators:array<string>,bases:array<string>>>"
 SYMBOL = "array<struct<kind:string,name:string,line_start:int,line_end:int,params:array<string>,decorators:array<string>,bases:array<string>,methods:array<string>>>"
 IMPORT = "array<struct<source:string,specifiers:array<string>,line:int>>"
 EXPORT = "array<struct<name:string,line:int>>"
@@ -27,13 +24,16 @@ def _none(kind: str = STRINGS) -> Column:
     return F.array().cast(kind)
 
 
+# Python symbols are found by the scanner itself; its imports are rules over text without strings and comments.
+_IMPORT = r"(?m)^([ \t]*)import[ \t]+((?:[^\n;\\]|\\\n)+)"
+_FROM = r"(?m)^([ \t]*)from[ \t]+([.\w]+)[ \t]+import[ \t]+(\([^)]*\)|(?:[^\n;\\]|\\\n)+)"
+
+
 def rule_rows(extra: dict = None) -> dict:
     """Rule rows by language. ``extra`` maps a family (function, class, import, export)
     to further ``{language: [Rule]}`` entries, which replace those of the same language."""
     families = {"function": ex.FUNCTION_RULES, "class": ex.CLASS_RULES, "import": ex.IMPORT_RULES, "export": ex.EXPORT_RULES}
     rows = {"python": [
-        dict(family="function", pos=0, pattern=_DEF, groups=5, name=4, params=5, bases=0),
-        dict(family="class", pos=0, pattern=_CLASS, groups=5, name=4, params=0, bases=5),
         dict(family="import", pos=0, pattern=_IMPORT, groups=2, name=1, params=0, bases=0),
         dict(family="import", pos=1, pattern=_FROM, groups=3, name=1, params=0, bases=0),
     ]}
@@ -46,29 +46,15 @@ def rule_rows(extra: dict = None) -> dict:
     return rows
 
 
-def rule_hits(text, language, extra: dict = None) -> Column:
-    """All matches of all rules of the row's language: family, rule, line, groups.
-
-    The rules are one constant map, so the plan has the same size for any number of
-    languages and rules, and only the rules of the row's language run.
-    """
-    table = F.from_json(F.lit(json.dumps(rule_rows(extra))), f"map<string,array<{RULE}>>")
-
-    def of_rule(rule):
-        inner = F.concat(F.lit(rx(r"\A(?:")), rule["pattern"], F.lit(")"))
-
-        def of_hit(hit):
-            groups = F.transform(F.sequence(F.lit(1), rule["groups"]), lambda g: F.call_function("regexp_extract", hit["text"], inner, g))
-            return F.struct(rule.alias("rule"), hit["line"].alias("line"), groups.alias("groups"))
-
-        return F.transform(tx.located(text, F.concat(F.lit(rx("")), rule["pattern"])), of_hit)
+def rule_hits(content, language, extra: dict = None) -> Column:
+    """All matches of all rules of the row's language, with lines, ends and groups; only texts with rules are sent."""
+    rules = rule_rows(extra)
 
-    rules = F.coalesce(F.try_element_at(table, language), F.array().cast(f"array<{RULE}>"))
-    return F.flatten(F.transform(rules, of_rule))
+    @F.arrow_udf(lexer.HITS)
+    def scan(codes: pa.Array, languages: pa.Array) -> pa.Array:
+        return lexer.scanned(codes, languages, rules)
 
-
-def _group(hit, index) -> Column:
-    return F.when(index > 0, F.element_at(hit["groups"], index)).otherwise(F.lit(""))
+    return scan(F.when(language.isin(list(rules)), content), language)
 
 
 def _param_names(params) -> Column:
@@ -82,11 +68,12 @@ def _comma_list(col) -> Column:
 
 
 def _found(hit, at) -> Column:
+    python = F.col("language") == "python"
     return F.struct(
-        hit["rule"]["family"].alias("family"), hit["rule"]["pos"].alias("pos"), F.lit(0).alias("indent"),
-        hit["line"].alias("line"), at.alias("at"), hit["line"].alias("head_end"),
-        _group(hit, hit["rule"]["name"]).alias("name"), _param_names(_group(hit, hit["rule"]["params"])).alias("params"),
-        _none().alias("decorators"), _comma_list(_group(hit, hit["rule"]["bases"])).alias("bases"))
+        hit["family"].alias("family"), hit["pos"].alias("pos"), hit["indent"].alias("indent"), hit["line"].alias("line"), at.alias("at"),
+        hit["end"].alias("end"), hit["body"].alias("body"), hit["name"].alias("name"),
+        F.when(python, _python_params(hit["params"])).otherwise(_param_names(hit["params"])).alias("params"), hit["decorators"].alias("decorators"),
+        F.when(python, _python_bases(hit["bases"])).otherwise(_comma_list(hit["bases"])).alias("bases"))
 
 
 def _import(hit) -> Column:
@@ -105,49 +92,12 @@ def _exports_of(hit) -> Column:
     return F.transform(F.filter(names, lambda n: n != ""), lambda n: F.struct(n.alias("name"), hit["line"].alias("line")))
 
 
-def indents_of(lines) -> Column:
-    """Indent width per line, -1 for a blank line."""
-    return F.transform(lines, lambda l: F.when(tx.nonblank(l), F.length(l) - F.length(F.regexp_replace(l, rx(r"\A\s+"), ""))).otherwise(-1))
-
-
 # ---- python ----------------------------------------------------------------
 
-# String and comment tokens; possessive loops keep long texts off the stack.
-_TOKENS = (
-    r'("""[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+"""'
-    r"|'''[^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+'''"
-    r'|"(?:[^"\\\n]|\\.)*+"'
-    r"|'(?:[^'\\\n]|\\.)*+'"
-    r"|#[^\n]*+)"
-)
-_DEEP = " " * 400      # continuation lines of a string never end a block
-_DECORATORS = r"((?:[ \t]*@[^\n]*\n(?:[ \t]*\n)*+)*+)"
-_NESTED = r"[^()]*+(?:\((?:[^()]*+(?:\((?:[^()]*+(?:\([^()]*+\)[^()]*+)*+)\)[^()]*+)*+)\)[^()]*+)*+"
-_DEF = r"(?m)^" + _DECORATORS + r"([ \t]*)((?:async[ \t]+)?def[ \t]+(\w+)[ \t]*(?:\[[^\]]*\])?\((" + _NESTED + r")\))"
-_CLASS = r"(?m)^" + _DECORATORS + r"([ \t]*)(class[ \t]+(\w+)[ \t]*(?:\[[^\]]*\])?(?:\((" + _NESTED + r")\))?[ \t]*:)"
-_IMPORT = r"(?m)^([ \t]*)import[ \t]+((?:[^\n;\\]|\\\n)+)"
-_FROM = r"(?m)^([ \t]*)from[ \t]+([.\w]+)[ \t]+import[ \t]+(\([^)]*\)|(?:[^\n;\\]|\\\n)+)"
-
-
-def masked_python(content) -> Column:
-    """Python text with comments removed and string contents blanked, lines kept."""
-    pieces = F.split(F.regexp_replace(content, rx(_TOKENS, "s"), tx.MARK + "$1" + tx.MARK), tx.MARK)
-    blank = F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p)
-                        .when(F.startswith(p, F.lit("#")), F.lit(""))
-                        .otherwise(F.concat(F.lit("''"), F.repeat(F.lit(NL + _DEEP), tx.newlines(p)), F.lit("''"))))
-    return F.array_join(blank, "")
-
-
-def _flat_brackets(col) -> Column:
-    inner = col
-    for _ in range(3):
-        inner = F.regexp_replace(inner, r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", "")
-    return inner
-
 
 def _python_params(params) -> Column:
     """Plain positional names: none before ``/``, none from the first ``*`` on, no self."""
-    items = _comma_list(_flat_brackets(params))
+    items = _comma_list(params)
     slash = F.array_position(items, "/")
     star = F.array_position(F.transform(items, lambda p: F.startswith(p, F.lit("*"))), True)
     head = F.when(star > 0, F.slice(items, 1, F.greatest((star - 1).cast("int"), F.lit(0)))).otherwise(items)
@@ -156,46 +106,12 @@ def _python_params(params) -> Column:
     return F.filter(names, lambda n: (n != "self") & (n != ""))
 
 
-def _python_decorators(block, dotted: bool) -> Column:
-    """Decorators that are a plain name (or, for functions, the last part of a dotted one)."""
-    form = r"(?m)^[ \t]*@[ \t]*" + (r"(?:\w+\.)*" if dotted else "") + r"(\w+)[ \t]*$"
-    return F.regexp_extract_all(block, F.lit(rx(form)), F.lit(1))
-
-
 def _python_bases(bases) -> Column:
-    plain = F.filter(_comma_list(_bracket_calls(bases)), lambda b: F.rlike(b, F.lit(rx(r"\A\w+(?:\.\w+)*\z"))))
+    """Plain and dotted names; calls and subscripts hold a mark of the scanner."""
+    plain = F.filter(_comma_list(bases), lambda b: F.rlike(b, F.lit(rx(r"\A\w+(?:\.\w+)*\z"))))
     return F.transform(plain, lambda b: F.element_at(F.split(b, r"\."), -1))
 
 
-def _bracket_calls(col) -> Column:
-    """Calls and subscripts marked so that they are no plain names any more."""
-    inner = col
-    for _ in range(3):
-        inner = F.regexp_replace(inner, r"\([^()]*\)|\[[^\[\]]*\]", "!")
-    return inner
-
-
-def _python_found(hit, at) -> Column:
-    block, head, inner = (F.element_at(hit["groups"], g) for g in (1, 3, 5))
-    is_class = hit["rule"]["family"] == "class"
-    line = hit["line"] + tx.newlines(block)
-    return F.struct(
-        hit["rule"]["family"].alias("family"), F.lit(0).alias("pos"), F.length(F.element_at(hit["groups"], 2)).alias("indent"),
-        line.alias("line"), at.alias("at"), (line + tx.newlines(head)).alias("head_end"), F.element_at(hit["groups"], 4).alias("name"),
-        F.when(is_class, _none()).otherwise(_python_params(inner)).alias("params"),
-        F.when(is_class, _python_decorators(block, False)).otherwise(_python_decorators(block, True)).alias("decorators"),
-        F.when(is_class, _python_bases(inner)).otherwise(_none()).alias("bases"))
-
-
-def python_end(indents, indent, head_end) -> Column:
-    """Last line with code of the block below a header."""
-    rest = F.slice(indents, head_end + 1, F.size(indents))
-    stop = F.array_position(F.transform(rest, lambda i: (i >= 0) & (i <= indent)), True)
-    body = F.when(stop > 0, F.slice(rest, 1, F.greatest((stop - 1).cast("int"), F.lit(0)))).otherwise(rest)
-    trailing = F.array_position(F.transform(F.reverse(body), lambda i: i >= 0), True)
-    return F.when(trailing > 0, head_end + F.size(body) - trailing + 1).otherwise(head_end).cast("int")
-
-
 def _python_imports(hit) -> Column:
     """One row per module of an ``import``, one per ``from``; outer statements first."""
     indent, text = F.length(F.element_at(hit["groups"], 1)), F.element_at(hit["groups"], -1)
@@ -208,7 +124,7 @@ def _python_imports(hit) -> Column:
     from_ = F.array(F.struct(indent.alias("indent"), hit["line"].alias("line"),
                              F.regexp_replace(F.element_at(hit["groups"], 2), r"\A\.+", "").alias("source"),
                              F.transform(names, lambda n: F.regexp_extract(n, rx(r"\A([\w*]+)"), 1)).alias("specifiers")))
-    return F.when(hit["rule"]["pos"] == 0, plain).otherwise(from_)
+    return F.when(hit["pos"] == 0, plain).otherwise(from_)
 
 
 # ---- the job ---------------------------------------------------------------
@@ -220,55 +136,40 @@ def extracted(files: DataFrame, extra_rules: dict = None, keep_others: bool = Fa
     ``extra_rules`` adds rule rows, also for languages that have none. ``keep_others``
     keeps files of other languages, with empty arrays.
     """
-    lang, code, hits = F.col("language"), F.col("_code"), F.col("_hits")
+    lang, hits = F.col("language"), F.col("_hits")
     python = lang == "python"
 
     def family(name):
-        return F.filter(hits, lambda h: h["rule"]["family"] == name)
+        return F.filter(hits, lambda h: h["family"] == name)
 
     is_code = lang.isin(scan.CODE_LANGUAGES)
-    step1 = (files if keep_others else files.where(is_code)).withColumn(
-        "_clean", F.translate("content", tx.MARK, "\ufffd")).withColumn("_code", F.when(python, masked_python(F.col("_clean"))).otherwise(F.col("_clean")))
-    step2 = step1.select("*", rule_hits(code, lang, extra_rules).alias("_hits"), tx.lines_of(code).alias("_lines"),
-                         F.when(is_code, F.array_distinct(tx.all_of(F.col("content"), ex.CALL_TOKEN, 1)))
-                         .otherwise(_none()).alias("call_tokens"))
-
-    symbol_hits = F.filter(hits, lambda h: h["rule"]["family"].isin("function", "class"))
-    step3 = step2.select(
-        "*",
+    step1 = (files if keep_others else files.where(is_code)).withColumn("_hits", rule_hits(F.col("content"), lang, extra_rules))
+    symbol_hits = F.filter(hits, lambda h: h["family"].isin("function", "class"))
+    step2 = step1.select(
+        "*", F.when(is_code, F.array_distinct(tx.all_of(F.col("content"), ex.CALL_TOKEN, 1))).otherwise(_none()).alias("call_tokens"),
         # By family, rule, then position; python orders outer definitions before nested ones.
-        F.array_sort(F.transform(symbol_hits, lambda h, at: F.when(python, _python_found(h, at)).otherwise(_found(h, at))).cast(FOUND)).alias("_found"),
+        F.array_sort(F.transform(symbol_hits, _found).cast(FOUND)).alias("_found"),
         F.when(python, F.transform(F.array_sort(F.flatten(F.transform(family("import"), _python_imports))),
                                    lambda i: F.struct(i["source"], i["specifiers"], i["line"])).cast(IMPORT))
         .otherwise(F.transform(family("import"), _import).cast(IMPORT)).alias("imports"),
         F.flatten(F.transform(family("export"), _exports_of)).cast(EXPORT).alias("exports"),
-        F.when(python, indents_of(F.col("_lines"))).alias("_indents"),
     )
     functions = F.filter("_found", lambda f: (f["family"] == "function") & (f["name"] != "")
                          & (python | ~f["name"].isin(ex.CONTROL_WORDS)))
-    step4 = step3.select("*", functions.alias("_functions"), F.filter("_found", lambda f: f["family"] == "class").alias("_classes"))
-
-    starts = F.transform(F.concat("_functions", "_classes"), lambda f: f["line"])
-    step5 = step4.withColumn("_ends", block_ends(code, lang, F.when(python, F.array().cast("array<int>")).otherwise(starts)))
+    step3 = step2.select("*", functions.alias("_functions"), F.filter("_found", lambda f: f["family"] == "class").alias("_classes"))
 
-    def symbol(f, at):
-        end = F.when(python, python_end(F.col("_indents"), f["indent"], f["head_end"])).otherwise(F.get("_ends", at)).cast("int")
-        methods = F.when(python & (f["family"] == "class"), _direct_methods(f, end)).otherwise(_none())
-        return F.struct(f["family"].alias("kind"), f["name"], f["line"], end, f["params"], f["decorators"], f["bases"], methods)
+    def symbol(f):
+        methods = F.when(python & (f["family"] == "class"), _direct_methods(f)).otherwise(_none())
+        return F.struct(f["family"].alias("kind"), f["name"], f["line"], f["end"], f["params"], f["decorators"], f["bases"], methods)
 
     kept = [c for c in files.columns] + ["imports", "exports", "call_tokens"]
-    return step5.select(*kept, F.transform(F.concat("_functions", "_classes"), symbol).cast(SYMBOL).alias("symbols"))
+    return step3.select(*kept, F.transform(F.concat("_functions", "_classes"), symbol).cast(SYMBOL).alias("symbols"))
 
 
-def _direct_methods(cls, end) -> Column:
+def _direct_methods(cls) -> Column:
     """Functions in a python class whose indent is that of the first line of its body."""
-    body = F.filter(F.slice(F.col("_indents"), cls["head_end"] + 1, F.size("_indents")), lambda i: i >= 0)
-
-    def inside(bounds):
-        picked = F.filter("_functions", lambda f: (f["line"] > cls["line"]) & (f["line"] <= bounds["end"]) & (f["indent"] == bounds["indent"]))
-        return F.transform(F.array_sort(F.transform(picked, lambda f: F.struct(f["line"], f["name"]))), lambda s: s["name"])
-
-    return tx.let(F.struct(end.alias("end"), F.try_element_at(body, F.lit(1)).alias("indent")), inside)
+    picked = F.filter("_functions", lambda f: (f["line"] > cls["line"]) & (f["line"] <= cls["end"]) & (f["indent"] == cls["body"]))
+    return F.transform(F.array_sort(F.transform(picked, lambda f: F.struct(f["line"], f["name"]))), lambda s: s["name"])
 
 
 def rows_of(df: DataFrame, array: str, pos: str, item: str, *keep) -> DataFrame:

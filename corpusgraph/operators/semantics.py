@@ -1,5 +1,8 @@
 """Semantic tags as projections over files and symbols."""
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
@@ -57,13 +60,11 @@ def control_flow(content) -> Column:
     return F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))
 
 
-def domain_scores(name, path, content) -> dict:
-    """Score per domain family in tenths: 10 per hit in name or path, 3 per hit in the text."""
-    label = F.lower(F.concat_ws(" ", name, path))
-    head = F.lower(content)
+def domain_scores(label, text) -> dict:
+    """Score per domain family in tenths, of lower-case columns: 10 per hit in name or path, 3 per hit in the text."""
     return {
         domain: sum((F.when(F.contains(label, F.lit(w)), 10).otherwise(0)
-                     + F.when(F.contains(head, F.lit(w)), 3).otherwise(0) for w in words), F.lit(0))
+                     + F.when(F.contains(text, F.lit(w)), 3).otherwise(0) for w in words), F.lit(0))
         for domain, words in sm.DOMAIN_KEYWORDS.items()
     }
 
@@ -76,15 +77,26 @@ def domain_from(scores) -> Column:
 
 
 def role_of(name, path) -> Column:
+    """First role that a name or path shows. In ASCII the patterns, which are lists of words, are plain searches."""
     label = F.concat_ws(" ", name, path)
-    return F.coalesce(*[F.when(tx.has(label, p, "i"), F.lit(r)) for r, p in sm.ROLE_PATTERNS.items()], F.lit(""))
+
+    def shown(bound):
+        def by_word(pattern):
+            words = [F.contains(bound["lower"], F.lit(w.lower())) for w in pattern.split("|")]
+            return functools.reduce(operator.or_, words)
+
+        plain = F.coalesce(*[F.when(by_word(p), F.lit(r)) for r, p in sm.ROLE_PATTERNS.items()], F.lit(""))
+        any_ = F.coalesce(*[F.when(tx.has(bound["label"], p, "i"), F.lit(r)) for r, p in sm.ROLE_PATTERNS.items()], F.lit(""))
+        return F.when(F.octet_length(bound["label"]) == F.length(bound["label"]), plain).otherwise(any_)
+
+    return tx.let(F.struct(label.alias("label"), F.lower(label).alias("lower")), shown)
 
 
 def with_domain(df: DataFrame, name: str, path: str, text: str, out: str = "domain_hint") -> DataFrame:
-    """Scores live in their own projection so each is computed once."""
-    scores = domain_scores(F.col(name), F.col(path), F.col(text))
-    staged = df.withColumn("_scores", F.array(*scores.values()))
-    return staged.withColumn(out, domain_from(F.col("_scores"))).drop("_scores")
+    """Lower-case texts and scores live in projections of their own, so each is computed once."""
+    staged = df.withColumns({"_label": F.lower(F.concat_ws(" ", name, path)), "_lower": F.lower(F.col(text))})
+    staged = staged.withColumn("_scores", F.array(*domain_scores(F.col("_label"), F.col("_lower")).values()))
+    return staged.withColumn(out, domain_from(F.col("_scores"))).drop("_scores", "_label", "_lower")
 
 
 def file_semantics(ext: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Extraction on hand-made files with known outcomes."""
 
+import numpy as np
 import pytest
+from hypothesis import given, settings as hyp, strategies as st
 from pyspark.sql import functions as F
 
-from corpusgraph.functions.blocks import brace_ends, indent_ends
+from corpusgraph.functions import lexer
 from corpusgraph.operators import build, complexity as cp, extract as xt
 from corpusgraph.rules.extraction import Rule
 
@@ -133,11 +135,65 @@ def test_match_mark_in_the_text(spark):
     assert {k[1:]: (v.line_start, v.line_end) for k, v in s.items() if k[0] == "a.js"} == {k[1:]: (v.line_start, v.line_end) for k, v in s.items() if k[0] == "b.js"}
 
 
-@pytest.mark.parametrize("code,starts,want", [
-    ("a {\n b { }\n}\nc\n", [1, 2, 4], [3, 2, 4]), ("} f() {\nx\n}\n", [1], [3]), ("f {\n{\n}\n", [1, 2], [4, 3]), ("", [1], [1])])
-def test_brace_ends(code, starts, want):
-    assert brace_ends(code, starts) == want
-
-
-def test_indent_ends():
-    assert indent_ends("class A\n  def b\n\n    c\n  end\nend\n", [1, 2, 4, 5, 6]) == [5, 4, 4, 5, 7]
+def ends(language, code, extra=None):
+    """(name, first line, last line) of every symbol of one text."""
+    hits = lexer.Scan([code], [language], xt.rule_rows(extra)).hits[0]
+    return [(h["name"], h["line"], h["end"]) for h in hits if h["family"] in ("function", "class")]
+
+
+@pytest.mark.parametrize("language,code,want", [
+    ("javascript", "function a() {\n b { }\n}\nc\n", [("a", 1, 3)]),
+    ("javascript", "} function f() {\nx\n}\n", [("f", 1, 3)]),
+    ("javascript", "function f() {\n  var s = \"{\"; // {\n  /* {\n */ var t = '{', u = `{\n`\n}\nfunction g() {\n}\n", [("f", 1, 6), ("g", 7, 8)]),
+    ("javascript", "const f = (x) =>\n  x + 1\nfunction g() {\n}\n", [("g", 3, 4), ("f", 1, 2)]),
+    ("javascript", "const f = (x) => ({\n  a: 1\n})\nconst g = async (y) => {\n}\n", [("f", 1, 3), ("g", 4, 5)]),
+    ("javascript", "function open(a) {\n  if (a) {\n", [("open", 1, 3)]),
+    ("javascript", "function f({a, b} = {}) {\n}\n", [("f", 1, 2)]),
+    ("javascript", "// class of things\nclass A {\n}\n", [("of", 1, 1), ("A", 2, 3)]),
+    ("typescript", "function f(a: string): void;\nfunction f(a: any) {\n  return `${a}}`\n}\n", [("f", 1, 1), ("f", 2, 4)]),
+    ("java", "class A {\n  /** } */\n  public char f(int x) {\n    return '}';\n  }\n}\n", [("f", 2, 5), ("A", 1, 6)]),
+    ("kotlin", "class A(val x: Int)\nfun f() = 1\nfun g() {\n  val s = \"\"\"{\n\"\"\"\n}\n", [("f", 2, 2), ("g", 3, 6), ("A", 1, 1)]),
+    ("rust", "pub struct S;\nfn f<'a>(x: [u8; 4]) -> &'a str {\n  r#\"{\"#\n}\n", [("f", 2, 4), ("S", 1, 1)]),
+    ("csharp", "class A {\n  public int F() {\n    var s = @\"c:\\{\";\n  }\n}\n", [("F", 1, 5), ("A", 1, 5)]),
+    ("go", "func f(a []int) int {\n  s := `{\n`\n  return 1\n}\ntype T struct {\n}\n", [("f", 1, 5), ("T", 6, 7)]),
+    ("php", "<?php\ninterface I {\n  public function a();\n  public function b() { # }\n  }\n}\n", [("a", 2, 6), ("b", 3, 5)]),
+    ("swift", "protocol P {\n  func a()\n}\nfunc b() {\n  print(\"}\")\n}\n", [("a", 2, 2), ("b", 4, 6), ("P", 1, 3)]),
+    ("ruby", "class A\n  def b\n\n    c\n  end\nend\n", [("b", 2, 4), ("A", 1, 5)]),
+    ("python", "def a(x=f(g(h(k(1))))):\n    return {\n1: 2}\n\nclass B(C[D[E[F[G]]]], H):\n    def m[T: (int, str)](self) -> Dict[\n      str]:\n        \"\"\"x\ny\"\"\"\n\ny = 1\n",
+     [("a", 1, 3), ("B", 5, 9), ("m", 6, 9)]),
+    ("python", "def a(", []), ("javascript", "", []), ("cobol", "function f() {}", []),
+])
+def test_ends(language, code, want):
+    assert ends(language, code) == want
+
+
+@given(st.lists(st.text("(){}[]\na ", max_size=30), min_size=1, max_size=6))
+@hyp(max_examples=300, deadline=None)
+def test_brackets_brute_force(texts):
+    starts = np.append(0, np.cumsum([len(t) for t in texts]))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    for open_, close in ("()", "[]", "{}"):
+        got, want = lexer.brackets(chars, starts, open_, close), {}
+        for base, text in zip(starts, texts):
+            stack = []
+            for i, c in enumerate(text):
+                if c == open_:
+                    stack.append(base + i)
+                elif c == close and stack:
+                    want[stack.pop()] = base + i
+        assert {a: p for a, o, p in zip(got.at, got.opens, got.pair) if o and p >= 0} == want
+
+
+def test_deep_brackets():
+    deep = 100_000
+    code = "def f(x=" + "(" * deep + ")" * deep + "):\n    pass\n"
+    assert ends("python", code) == [("f", 1, 2)]
+    assert ends("javascript", "function f() {\n" + "{" * deep + "\n" + "}" * deep + "\n}\nfunction g() {\n}") == [("f", 1, 4), ("g", 5, 6)]
+
+
+def test_batches_do_not_mix():
+    codes = ["function a() {\n", "}\nfunction b() {\n}\n", "", "def c(x):\n  (\n", "def d(y):\n  return 1)\n"]
+    langs = ["javascript", "javascript", "javascript", "python", "python"]
+    together = [[{k: h[k] for k in ("name", "line", "end")} for h in own] for own in lexer.Scan(codes, langs, xt.rule_rows()).hits]
+    alone = [[{k: h[k] for k in ("name", "line", "end")} for h in lexer.Scan([c], [lang], xt.rule_rows()).hits[0]] for c, lang in zip(codes, langs)]
+    assert together == alone

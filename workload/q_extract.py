@@ -17,13 +17,13 @@ def q(v):
 NLS = "length({0}) - length(replace({0}, chr(10), ''))"
 
 
-def _hits(lang, rule, pattern, kind, cols):
+def _hits(lang, rule, pattern, kind, cols, view="code_files"):
     """SQL rows for the matches of one rule in one language."""
     p = q(pattern)
     return f"""SELECT repo_id, path, language, '{kind}' AS kind, {rule} AS rule, i, hit, line, {cols} FROM (
   SELECT repo_id, path, language, u.i, hits[u.i] AS hit,
     (1 + list_sum(list_transform(pieces[1:u.i], lambda x: {NLS.format('x')})) + coalesce(list_sum(list_transform(hits[1:u.i - 1], lambda x: {NLS.format('x')})), 0))::BIGINT AS line
-  FROM (SELECT *, regexp_extract_all(content, {p}) AS hits, string_split_regex(content, {p}) AS pieces FROM {{code_files}} WHERE language = '{lang}') h,
+  FROM (SELECT *, regexp_extract_all(content, {p}) AS hits, string_split_regex(content, {p}) AS pieces FROM {{{view}}} WHERE language = '{lang}') h,
        unnest(range(1, len(hits) + 1)) u(i)) r"""
 
 
@@ -192,3 +192,45 @@ def b11(spark, sf):
     syms = xt.symbols(xt.extracted(f)).select("repo_id", "path", "name", F.col("decorators").alias("tags"))
     return out(files.unionByName(syms))
 
+
+
+# ---- the other languages: rules as above; ends are known from how the files are made ----
+
+MORE = ["typescript", "java", "rust", "ruby", "csharp", "kotlin", "swift"]
+#: Lines from the first to the last of each kind of symbol, by the beginning of its name.
+SPANS = {"typescript": {"I": 2, "T": 3, "load_": 4, "pick_": 1}, "java": {"J": 7, "sum_": 4}, "rust": {"R": 1, "Q": 2, "calc_": 4},
+         "ruby": {"U": 4, "go_": 3}, "csharp": {"S": 7, "Do_": 4}, "kotlin": {"K": 1, "one_": 1, "two_": 4}, "swift": {"W": 5, "act_": 4}}
+define("more_found", "\nUNION ALL ".join(
+    _hits(lang, i, r.pattern, kind, f"{_g(r.pattern, r.name)} AS name, {_g(r.pattern, r.params)} AS params_text, {_g(r.pattern, r.bases)} AS bases_text", "more_files")
+    for lang in MORE for kind, fam in (("function", ex.FUNCTION_RULES), ("class", ex.CLASS_RULES)) for i, r in enumerate(fam[lang])))
+_SPAN = "CASE " + " ".join(f"WHEN language = '{lang}' AND starts_with(name, '{name}') THEN {n}" for lang, own in SPANS.items() for name, n in own.items()) + " END"
+# a pattern that begins with white space begins on the line before: its block is one line longer
+define("more_symbols", rf"""
+SELECT repo_id, path, language, kind, (row_number() OVER (PARTITION BY path ORDER BY CASE kind WHEN 'function' THEN 0 ELSE 1 END, rule, line, i) - 1)::BIGINT AS seq,
+  name, line AS line_start, (line + length(hit) - length(ltrim(hit, chr(10))) + {_SPAN} - 1)::BIGINT AS line_end,
+  array_to_string(list_transform(list_filter(string_split(params_text, ','), lambda x: trim(x) <> ''), lambda x: string_split(regexp_extract(x, '(\S+)\s*$', 1), ':')[-1]), '|') AS params,
+  array_to_string(list_filter(list_transform(string_split(bases_text, ','), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> ''), '|') AS bases
+FROM {{more_found}}""")
+
+
+def more(spark, sf):
+    return xt.extracted(view(spark, sf, "more_files").drop("k"))
+
+
+@query("b1_more_languages", "SELECT * FROM {more_symbols}")
+def b1_more(spark, sf):
+    """Functions and classes of seven more languages, with the true ends of their blocks."""
+    return out(xt.symbols(more(spark, sf)).drop("decorators", "methods"))
+
+
+define("more_import_hits", "\nUNION ALL ".join(
+    _hits(lang, i, r.pattern, "import", "[" + ", ".join(_g(r.pattern, g + 1) for g in range(r.groups)) + "] AS groups", "more_files")
+    for lang in MORE for i, r in enumerate(ex.IMPORT_RULES[lang])))
+
+
+@query("b3_more_languages", """
+SELECT repo_id, path, (row_number() OVER (PARTITION BY path ORDER BY rule, i) - 1)::BIGINT AS seq, coalesce(gs[-1], '') AS source,
+  CASE WHEN len(gs) > 1 THEN array_to_string(list_filter(list_transform(string_split(gs[1], ','), lambda x: trim(x)), lambda x: x <> ''), '|') ELSE '' END AS specifiers, line
+FROM (SELECT *, list_filter(groups, lambda g: g <> '') AS gs FROM {more_import_hits}) x""")
+def b3_more(spark, sf):
+    return out(xt.imports(more(spark, sf)))

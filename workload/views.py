@@ -40,7 +40,30 @@ _PHP = _lines("<?php", "use App\\f<k+13>;", "class C<k> extends C<k+1> {", "  pu
 _GO = _lines("package m", "import \"stripe/f<k+13>\"", "type C<k> struct {", "}", "func fn_<k>(a int, b int) int {",
              "  if a > 0 {", "    return fn_<k+5>(b)", "  }", "  return 0", "}")
 
+# Seven more languages; strings and comments hold braces, and brackets nest deeply.
+_MORE = {
+    "typescript": ("ts", ["import { A<k>, B } from './m<k+3>'", "export interface I<k> {", "}", "export class T<k> extends T<k+1> {", "  run() { return `{<k>` } // }", "}",
+                          "export async function load_<k>(a: string, b: number) {", "  const s = '}' /* { */", "  return call_<k+2>(s)", "}", "const pick_<k> = (x) => x + 1", "export { load_<k> as main }"]),
+    "java": ("java", ["import org.app<k>.Base;", "public class J<k> extends J<k+1> {", "    /* } */ private String s = \"{\";", "    public static int sum_<k>(int a, String b) {", "        if (a > 0) { return b.length(); }",
+                      "        return get_<k+5>(a);", "    }", "}"]),
+    "rust": ("rs", ["use crate::m<k>;", "pub struct R<k>;", "pub trait Q<k> {", "}", "pub fn calc_<k>(a: i32, s: &str) -> i32 {", "    let t = \"}\"; // {", "    a + next_<k+1>(s)", "}"]),
+    "ruby": ("rb", ["require 'lib<k>'", "class U<k> < U<k+1>", "  def go_<k>(a, b)", "    step_<k+2>(a)", "  end", "end"]),
+    "csharp": ("cs", ["using App.N<k>;", "public class S<k> : S<k+1> {", "    // one }", "    public async Task Do_<k>(int a) {", "        var p = \"}\";", "        await Call_<k+3>(a);", "    }", "}"]),
+    "kotlin": ("kt", ["import app.n<k>", "class K<k>(val x: Int)", "fun one_<k>(a: Int) = two_<k+1>(a)", "fun two_<k>(b: Int): Int {", "    val s = \"{\"", "    return b", "}"]),
+    "swift": ("swift", ["import Kit<k>", "class W<k>: Base {", "    func act_<k>(a: Int) {", "        print(\"}\")", "    }", "}"]),
+}
+
+
+def _repeated(lines: list, times: int) -> str:
+    """The lines several times over, each time with numbers of its own: files of some KB."""
+    parts = [_lines(*[re.sub(r"<k([+-]\d+)?>", lambda m: f"<k+{1000 * t + int(m[1] or 0)}>", line) for line in lines]) for t in range(times)]
+    return "concat(" + ", ".join(parts) + ")"
+
+
 SHARED = {}
+SHARED["more_files"] = "\nUNION ALL ".join(f"""
+SELECT 'more' AS repo_id, concat('{lang}/f', CAST(k AS STRING), '.{end}') AS path, '{lang}' AS language, k, {_repeated(lines, 10)} AS content
+FROM (SELECT s_suppkey AS k FROM {{supplier}}) s""" for lang, (end, lines) in _MORE.items())
 SHARED["code_files"] = f"""
 SELECT repo_id, concat(d, '/', m, '/', file_name) AS path, file_name, CAST(length(content) AS BIGINT) AS length,
        mtime, content, language, k
