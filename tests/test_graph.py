@@ -91,6 +91,44 @@ def test_shortest_paths(spark, graph):
         assert all(y in adj[x] for x, y in zip(p, p[1:]))
 
 
+def brute_callers(calls):
+    direct = {}
+    for src, dst in calls:
+        direct.setdefault(dst, set()).add(src)
+    out = {}
+    for node, own in direct.items():
+        far = set().union(*(direct.get(c, set()) for c in own)) - own
+        out[node] = (len(own), min(len(far), im.CALLER_CAP))
+    return out
+
+
+def caller_counts(spark, calls):
+    edges = spark.createDataFrame([("r", str(a), str(b), "calls") for a, b in calls] + [("r", "x", "y", "imports")], "repo_id string, src string, dst string, type string")
+    return {int(r.id): (r.direct, min(r.indirect, im.CALLER_CAP)) for r in im.caller_counts(edges).collect()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_caller_counts_brute_force(spark, seed):
+    r = random.Random(seed)
+    calls, base = set(), 0
+    for size, p in [(6, .3), (12, .2), (12, .9), (9, 1.0), (30, .05), (30, .5), (5, .6), (20, .97)] * 3:
+        own = range(base, base + size)
+        calls |= {(a, b) for a in own for b in own if (a != b or r.random() < .3) and r.random() < p}
+        # a few calls into and out of the group
+        calls |= {(r.randrange(base + size), r.choice(own)) for _ in range(r.choice([0, 0, 1, 3]))}
+        base += size
+    calls |= {(a, 5000) for a in range(base)} | {(5001, 5000)}
+    assert caller_counts(spark, calls) == brute_callers(calls)
+
+
+def test_cliques_are_not_expanded(spark):
+    """300 nodes that all call each other, one that they all call, one that calls one of them."""
+    core = range(300)
+    calls = {(a, b) for a in core for b in core if a != b} | {(a, 900) for a in core} | {(901, 0)}
+    got = caller_counts(spark, calls)
+    assert got[0] == (300, 1) and got[7] == (299, 2) and got[900] == (300, 1)
+
+
 def test_importance(graph):
     nodes, edges, ids, raw = graph
     callers = {}
