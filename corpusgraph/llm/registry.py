@@ -1,29 +1,17 @@
 """Queries of this subpackage and their SQL twins."""
 
 import functools
-import os
-import shutil
-import tempfile
 
 from pyspark.sql import SparkSession
 
-import corpusgraph
 from corpusgraph.functions.tables import tune
 
 QUERIES, TWINS = {}, {}
-_SENT = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings, and this package sent to the executors' Python once per application."""
-    tune(spark)
-    application = spark.sparkContext.applicationId
-    if application not in _SENT:
-        top = os.path.dirname(os.path.dirname(os.path.abspath(corpusgraph.__file__)))
-        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "corpusgraph"), "zip", top, "corpusgraph")
-        spark.sparkContext.addPyFile(archive)
-        _SENT[application] = archive
-    return spark
+    return tune(spark)
 
 
 def query(name: str, twin: str = None):
