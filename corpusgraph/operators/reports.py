@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import paths, text as tx
 from ..functions.ordered import first_rows, numbered
+from ..functions.tables import written
 from ..rules import graph as gr
 from . import build, traverse as tv
 
@@ -168,13 +169,19 @@ def reading_order(nodes: DataFrame, files: int = None, dirs: int = None) -> Data
 
 
 def _entry_flows(entries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    entries = written(entries, "entries")
     steps = _chain_names(tv.chains(entries, nodes, edges, max_nodes=2000, max_depth=6), nodes)
     return entries.select("repo_id", F.col("id").alias("entry"), "rank").join(steps.where(F.size("steps") >= 2), ["repo_id", "entry"])
 
 
-def api_flows(nodes: DataFrame, edges: DataFrame, entries: int = 15, shown: int = 8) -> DataFrame:
-    """Chains from entry points that touch an external service."""
-    first = first_rows(_symbols(nodes).where(tv.role_of() == "entry_point"), ["repo_id"], ["ord"], entries)
+def _first_entries(rows: DataFrame, entries: int = None) -> DataFrame:
+    """Entries with their place in the repository; all of them unless a limit is given."""
+    return numbered(rows, ["repo_id"], ["ord"], "rank") if entries is None else first_rows(rows, ["repo_id"], ["ord"], entries)
+
+
+def api_flows(nodes: DataFrame, edges: DataFrame, entries: int = None, shown: int = 8) -> DataFrame:
+    """The first ``shown`` chains from entry points that touch an external service; every entry point is followed."""
+    first = _first_entries(_symbols(nodes).where(tv.role_of() == "entry_point"), entries)
     flows = _entry_flows(first, nodes, edges).where(F.exists("steps", lambda s: _has_effect(s["effects"], "external_api")))
     effects = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("steps", lambda s: s["effects"])), lambda e: F.contains(e, F.lit("external_api")))))
     return first_rows(flows.withColumnRenamed("rank", "_from"), ["repo_id"], ["_from"], shown).withColumn("effects", effects)
@@ -194,11 +201,10 @@ def data_flows(nodes: DataFrame, edges: DataFrame, writers: int = None, callers:
     return once.join(who, NODE, "left").withColumn("callers", F.coalesce("callers", F.lit("")))
 
 
-def request_flows(nodes: DataFrame, edges: DataFrame, entries: int = 20, shown: int = 10) -> DataFrame:
-    """Chains from API and UI symbols that cross at least two layers."""
+def request_flows(nodes: DataFrame, edges: DataFrame, entries: int = None, shown: int = 10) -> DataFrame:
+    """The first ``shown`` chains from API and UI symbols that cross at least two layers; every such symbol is followed."""
     rows = _with_layer(_symbols(nodes)).where(F.col("layer").isin("API / Routes", "UI / Frontend"))
-    first = first_rows(rows, ["repo_id"], ["ord"], entries)
-    flows = _entry_flows(first, nodes, edges)
+    flows = _entry_flows(_first_entries(rows, entries), nodes, edges)
     layer = _with_layer(nodes).select(*NODE, "layer")
     crossed = (
         flows.select("repo_id", "entry", F.explode("steps").alias("s")).select("repo_id", "entry", F.col("s.step").alias("step"), F.col("s.id").alias("id"))

@@ -44,3 +44,25 @@ def test_changes_of_one_path_in_one_trigger(spark, tmp_path):
     sc.run_available(spark, source, state)
     sc.compact(spark, state, f"{tmp_path}/compact")
     assert names(state) == names(f"{tmp_path}/compact") == ["new_", "z"]
+
+
+def test_late_changes_lose(spark, tmp_path):
+    from corpusgraph.streaming import changes as sc
+    state = f"{tmp_path}/state"
+
+    def apply(batch, *rows, to=state):
+        df = spark.createDataFrame([("r", path, f"def {name}():\n    pass\n", "python", status, seq) for path, name, status, seq in rows], sc.CHANGE)
+        sc.apply_batch(df, batch, to)
+
+    def names(of):
+        return sorted(r.name for r in sc.current_units(spark, of).where("kind = 'function'").collect())
+
+    apply(0, ("a.py", "newer", "modified", 9), ("b.py", "gone", "added", 2), ("c.py", "first", "added", 1))
+    apply(1, ("a.py", "older", "modified", 3), ("b.py", "gone", "removed", 5), ("c.py", "unknown", "modified", None))
+    assert names(state) == ["first", "newer"]
+    sc.compact(spark, state, f"{state}-compact")
+    assert names(f"{state}-compact") == ["first", "newer"]
+    apply(2, ("b.py", "back", "modified", 4), ("a.py", "late", "modified", 8), ("c.py", "second", "modified", 1), to=f"{state}-compact")
+    assert names(f"{state}-compact") == ["newer", "second"]     # equal seq: the later batch
+    apply(3, ("b.py", "back", "added", 6), to=f"{state}-compact")
+    assert names(f"{state}-compact") == ["back", "newer", "second"]

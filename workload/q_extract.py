@@ -199,7 +199,7 @@ def b11(spark, sf):
 MORE = ["typescript", "java", "rust", "ruby", "csharp", "kotlin", "swift"]
 #: Lines from the first to the last of each kind of symbol, by the beginning of its name.
 SPANS = {"typescript": {"I": 2, "T": 3, "load_": 4, "pick_": 1}, "java": {"J": 7, "sum_": 4}, "rust": {"R": 1, "Q": 2, "calc_": 4},
-         "ruby": {"U": 4, "go_": 3}, "csharp": {"S": 7, "Do_": 4}, "kotlin": {"K": 1, "one_": 1, "two_": 4}, "swift": {"W": 5, "act_": 4}}
+         "ruby": {"U": 4, "go_": 2}, "csharp": {"S": 7, "Do_": 4}, "kotlin": {"K": 1, "one_": 1, "two_": 4}, "swift": {"W": 5, "act_": 3}}
 define("more_found", "\nUNION ALL ".join(
     _hits(lang, i, r.pattern, kind, f"{_g(r.pattern, r.name)} AS name, {_g(r.pattern, r.params)} AS params_text, {_g(r.pattern, r.bases)} AS bases_text", "more_files")
     for lang in MORE for kind, fam in (("function", ex.FUNCTION_RULES), ("class", ex.CLASS_RULES)) for i, r in enumerate(fam[lang])))

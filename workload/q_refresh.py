@@ -125,6 +125,16 @@ def g6_one_trigger(spark, sf):
     return sc.current_units(spark, f"{state}-compact").where("kind <> 'file'").select("repo_id", "path", "kind", "name")
 
 
+@query("g6_late_changes", _G6)
+def g6_late(spark, sf):
+    """The parts arrive in the wrong order: the order of ``seq`` counts."""
+    source, state = new_path(spark, "changes"), new_path(spark, "state")
+    for part in reversed(change_batches(spark, sf)):
+        part.write.mode("append").parquet(source)
+        sc.run_available(spark, source, state)
+    return sc.current_units(spark, state).where("kind <> 'file'").select("repo_id", "path", "kind", "name")
+
+
 # ---- H --------------------------------------------------------------------------
 
 define("h_changed", """

@@ -145,7 +145,7 @@ def i12(spark, sf):
     return out(rp.reading_order(nodes(spark, sf)).drop("repo_id"))
 
 
-define("api_entries", "SELECT *, row_number() OVER (ORDER BY ord) AS rank FROM {star_nodes} WHERE type IN ('function', 'class') AND role = 'entry_point' QUALIFY rank <= 15")
+define("api_entries", "SELECT *, row_number() OVER (ORDER BY ord) AS rank FROM {star_nodes} WHERE type IN ('function', 'class') AND role = 'entry_point'")
 define_chains("api_chains", "api_entries")
 define("api_steps", """
 SELECT c.entry, e.rank, list(n.name ORDER BY c.step) AS names, bool_or(contains(n.effects_text, 'external_api')) AS hit, count(*) AS n
@@ -169,7 +169,7 @@ def i14(spark, sf):
     return out(rp.data_flows(nodes(spark, sf), edges(spark, sf)).drop("repo_id"))
 
 
-define("req_entries", "SELECT *, row_number() OVER (ORDER BY ord) AS rank FROM {star_layer} WHERE type IN ('function', 'class') AND layer_id IN ('api', 'ui') QUALIFY rank <= 20")
+define("req_entries", "SELECT *, row_number() OVER (ORDER BY ord) AS rank FROM {star_layer} WHERE type IN ('function', 'class') AND layer_id IN ('api', 'ui')")
 define_chains("req_chains", "req_entries")
 define("req_steps", """
 SELECT c.entry, e.rank, list(n.name ORDER BY c.step) AS names, list(n.layer_name ORDER BY c.step) AS ls FROM {req_chains} c JOIN {star_layer} n ON n.id = c.id JOIN {req_entries} e ON e.id = c.entry GROUP BY ALL""")
