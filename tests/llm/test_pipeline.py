@@ -66,5 +66,5 @@ def test_twin(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")} == set(range(1, 11)) and "pipeline" in queries.queries()
+    assert {int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")} == set(range(1, 14)) and "pipeline" in queries.queries()
     assert abs(sum(settings.MIX["source"].values()) - 1) < 1e-9
