@@ -206,8 +206,16 @@ def line_count(content) -> Column:
     return tx.newlines(content) + 1
 
 
-def symbol_source(content, line_start, line_end) -> Column:
-    return F.array_join(tx.slice_lines(tx.lines_of(content), line_start, line_end), NL)
+def sources(ext: DataFrame, *keep) -> DataFrame:
+    """Symbol rows with their own lines as ``source``: a file is split once, whatever the number of its symbols, and its
+    text does not travel with them. ``keep`` names further columns of the file."""
+    def own(bound):
+        return F.transform(bound["symbols"], lambda s: F.struct(
+            s.alias("symbol"), F.array_join(tx.slice_lines(bound["lines"], s["line_start"], s["line_end"]), NL).alias("source")))
+
+    pieces = tx.let(F.struct(tx.lines_of(F.col("content")).alias("lines"), F.col("symbols").alias("symbols")), own)
+    rows = rows_of(ext.withColumn("_pieces", pieces), "_pieces", "seq", "p", "repo_id", "path", *keep)
+    return rows.select("repo_id", "path", *keep, "seq", "p.symbol.*", "p.source")
 
 
 def with_methods(syms: DataFrame) -> DataFrame:

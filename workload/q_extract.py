@@ -178,10 +178,7 @@ FROM {o_methods} s""")
 
 @query("b10_symbol_source", "SELECT repo_id, path, seq, name, source FROM {o_sources}")
 def b10(spark, sf):
-    e = ext(spark, sf)
-    s = xt.rows_of(e, "symbols", "seq", "s", "repo_id", "path", "content")
-    return out(s.select("repo_id", "path", "seq", "s.name",
-                        xt.symbol_source(F.col("content"), F.col("s.line_start"), F.col("s.line_end")).alias("source")))
+    return out(xt.sources(ext(spark, sf)).select("repo_id", "path", "seq", "name", "source"))
 
 
 @query("b11_tags", """

@@ -127,9 +127,7 @@ def scored_inputs(spark, sf):
     e = ext(spark, sf)
     files = e.select("repo_id", "path", F.lit("").alias("name"), F.lit(-1).alias("seq"), "language", F.col("content").alias("source"),
                      xt.line_count(F.col("content")).alias("n"))
-    syms = xt.rows_of(e, "symbols", "seq", "s", "repo_id", "path", "content", "language").select(
-        "repo_id", "path", "s.name", "seq", "language", xt.symbol_source(F.col("content"), F.col("s.line_start"), F.col("s.line_end")).alias("source"),
-        (F.col("s.line_end") - F.col("s.line_start") + 1).alias("n"))
+    syms = xt.sources(e, "language").select("repo_id", "path", "name", "seq", "language", "source", (F.col("line_end") - F.col("line_start") + 1).alias("n"))
     pages = view(spark, sf, "page_files").select("repo_id", "path", F.lit("").alias("name"), F.lit(-1).alias("seq"), F.lit("html").alias("language"),
                                                  F.col("content").alias("source"), xt.line_count(F.col("content")).alias("n"))
     return files.unionByName(syms).unionByName(pages)
