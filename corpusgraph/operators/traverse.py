@@ -47,7 +47,7 @@ def role_of():
 
 def find(nodes: DataFrame, type: str = None, domain: str = None, effect: str = None, name: str = None,
          limit: int = None) -> DataFrame:
-    """Conjunctive attribute search; an effect matches in full or by its family."""
+    """Conjunctive attribute search; an effect matches in full or by its family. ``limit`` is a number per repository."""
     hits = nodes
     if type:
         hits = hits.where(F.col("type") == type)
@@ -57,7 +57,7 @@ def find(nodes: DataFrame, type: str = None, domain: str = None, effect: str = N
         hits = hits.where(F.exists(effect_types(nodes), lambda e: (e == effect) | (F.element_at(F.split(e, ":"), 1) == effect)))
     if name:
         hits = hits.where(F.contains(F.lower("name"), F.lit(name.lower())))
-    return hits.orderBy("ord").limit(limit) if limit else hits
+    return first_rows(hits, ["repo_id"], ["ord", "id"], limit).drop("rank") if limit else hits
 
 
 def resolved_names(nodes: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusgraph.functions import ordered
-from corpusgraph.operators import batches as bt, build, export as xp, importance as im, refresh as rf, traverse as tv
+from corpusgraph.operators import batches as bt, build, explore as xo, export as xp, importance as im, refresh as rf, traverse as tv
 from corpusgraph.schemas import NODES
 
 EDGE = "repo_id string, src string, dst string, type string, weight double"
@@ -234,3 +236,12 @@ def test_chunks_partition_every_layer(spark):
     for r in got:
         sizes[r.chunk] = sizes.get(r.chunk, 0) + 1
     assert sizes[[r.chunk for r in got if r.id == "j0"][0]] == 200
+
+
+def test_limits_are_per_repository(spark, graph):
+    nodes = graph[0].select("*")
+    both = nodes.unionByName(nodes.withColumn("repo_id", F.lit("other")))
+    assert {tuple(r) for r in tv.find(both, type="function", limit=2).groupBy("repo_id").count().collect()} == {("r", 2), ("other", 2)}
+    some = nodes.first().name
+    found = xo.search(both, some, limit=1).collect()
+    assert sorted(r.repo_id for r in found) == ["other", "r"] and all(some.lower() in f"{r.name} {r.file_path}".lower() for r in found)
