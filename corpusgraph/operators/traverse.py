@@ -9,16 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ordered import first_rows
 from ..functions.tables import written
-
-FOLLOWED = ("calls", "imports")
-NODE = ["repo_id", "id"]
-
-
-def neighbours(edges: DataFrame, kinds=FOLLOWED) -> DataFrame:
-    """Undirected adjacency ``(repo_id, id, next)`` over some edge types."""
-    kept = edges.where(F.col("type").isin(list(kinds)))
-    return kept.select("repo_id", F.col("src").alias("id"), F.col("dst").alias("next")).unionByName(
-        kept.select("repo_id", F.col("dst").alias("id"), F.col("src").alias("next")))
+from .search import FOLLOWED, NODE, impact, neighbours, shortest_paths  # noqa: F401
 
 
 def callers(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -71,73 +62,6 @@ def named(nodes: DataFrame, names: DataFrame) -> DataFrame:
     return resolved_names(wanted)
 
 
-def impact(seeds: DataFrame, edges: DataFrame, key: str = "seed", max_depth: int = 2) -> DataFrame:
-    """Nodes within ``max_depth`` undirected call/import hops of each seed, with the hop count.
-
-    The frontier of a level is written, so its size is known to the planner (a small
-    one is broadcast to the edges) and a lost executor repeats one level only.
-    """
-    adjacency = neighbours(edges)
-    visited = seeds.select(key, *NODE).distinct().withColumn("hops", F.lit(0))
-    frontier = visited
-    for hop in range(1, max_depth + 1):
-        step = (
-            frontier.join(adjacency, NODE)
-            .select(key, "repo_id", F.col("next").alias("id")).distinct()
-            .join(visited.select(key, *NODE), [key, *NODE], "left_anti")
-            .withColumn("hops", F.lit(hop))
-        )
-        frontier = written(step, "frontier")
-        visited = visited.unionByName(frontier)
-        if frontier.isEmpty():
-            break
-    return visited
-
-
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int = None) -> DataFrame:
-    """Shortest undirected call path per ``(pair, repo_id, src, dst)``: rows ``(pair, repo_id, step, id)``.
-
-    Level by level with the smallest parent id per node; a pair leaves the search when
-    its target is met.
-    """
-    adjacency = neighbours(edges, ("calls",))
-    goal = pairs.select("pair", "repo_id", F.col("dst").alias("id"))
-    level = pairs.select("pair", "repo_id", F.col("src").alias("id"), F.lit(None).cast("string").alias("parent"))
-    levels = [written(level.distinct(), "level")]
-    seen = levels[0].select("pair", *NODE)
-    met = [levels[0].join(goal, ["pair", *NODE], "left_semi")]
-    open_pairs = goal.join(met[0].select("pair"), "pair", "left_anti").select("pair")
-    while max_depth is None or len(levels) <= max_depth:
-        step = (
-            levels[-1].join(open_pairs, "pair", "left_semi").join(adjacency, NODE)
-            .groupBy("pair", "repo_id", F.col("next").alias("id2")).agg(F.min("id").alias("parent"))
-            .withColumnRenamed("id2", "id")
-            .join(seen, ["pair", *NODE], "left_anti")
-            .select("pair", "repo_id", "id", "parent")
-        )
-        current = written(step, "level")
-        if current.isEmpty():
-            break
-        levels.append(current)
-        hits = current.join(goal, ["pair", *NODE], "left_semi")
-        met.append(hits)
-        seen = seen.unionByName(current.select("pair", *NODE))
-        open_pairs = written(open_pairs.join(hits.select("pair"), "pair", "left_anti"), "open")
-        if open_pairs.isEmpty():
-            break
-    # Walk the parents back, one level at a time.
-    path, wanted = None, None
-    for step in range(len(levels) - 1, -1, -1):
-        on_path = met[step] if step < len(met) else None
-        if wanted is not None:
-            inner = levels[step].join(wanted, ["pair", *NODE], "left_semi")
-            on_path = inner if on_path is None else on_path.unionByName(inner)
-        rows = on_path.select("pair", "repo_id", F.lit(step).alias("step"), "id")
-        path = rows if path is None else path.unionByName(rows)
-        wanted = on_path.select("pair", "repo_id", F.col("parent").alias("id"))
-    return path
-
-
 def one_hop(members: DataFrame, edges: DataFrame, key: str = "set_id", kinds=FOLLOWED) -> DataFrame:
     """A set and its direct neighbours, distinct."""
     own = members.select(key, *NODE)

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import ordered
-from corpusgraph.operators import batches as bt, build, explore as xo, export as xp, importance as im, refresh as rf, traverse as tv
+from corpusgraph.functions.tables import written
+from corpusgraph.operators import batches as bt, build, explore as xo, export as xp, importance as im, refresh as rf, search, traverse as tv
 from corpusgraph.schemas import NODES
 
 EDGE = "repo_id string, src string, dst string, type string, weight double"
@@ -93,6 +94,61 @@ def test_shortest_paths(spark, graph):
         assert all(y in adj[x] for x, y in zip(p, p[1:]))
 
 
+@pytest.mark.parametrize("hub", [3, 100_000])
+def test_shortest_paths_from_both_ends(spark, hub):
+    """The same nodes as a search from the source alone with the smallest parent, over chains, hubs, and pairs without a path."""
+    rng = random.Random(11)
+    calls = {(f"k{i:02d}", f"k{i + 1:02d}") for i in range(14)} | {("k14", "h"), ("h", "t00")} | {(f"x{i:02d}", "h") for i in range(40)}
+    calls |= {tuple(f"m{rng.randrange(40):02d}" for _ in range(2)) for _ in range(55)} | {("h", "m03"), ("t00", "t01"), ("lone", "lone")}
+    adj = {}
+    for a, b in calls:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+
+    def path(src, dst, most):
+        parent, front, steps = {src: None}, [src], 0
+        while front and dst not in parent and (most is None or steps < most):
+            level = {}
+            for x in front:
+                for y in adj.get(x, ()):
+                    if y not in parent:
+                        level[y] = min(level.get(y, x), x)
+            parent.update(level)
+            front, steps = list(level), steps + 1
+        out = [dst] if dst in parent else []
+        while out and parent[out[0]] is not None:
+            out.insert(0, parent[out[0]])
+        return out
+
+    ids = sorted(adj)
+    wanted = [("k00", "t01"), ("t01", "k00"), ("k00", "k00"), ("k00", "lone"), ("lone", "lone"), ("gone", "k00"), ("gone", "gone"), ("x01", "x02"), ("k05", None)]
+    wanted += [(rng.choice(ids), rng.choice(ids)) for _ in range(60)]
+    pairs = spark.createDataFrame([(f"p{i}", "r", *w) for i, w in enumerate(wanted)], "pair string, repo_id string, src string, dst string")
+    edges = spark.createDataFrame([("r", a, b, "calls", 1.0) for a, b in sorted(calls)] + [("s", "k00", "t01", "calls", 1.0), ("r", "k00", "t01", "imports", 1.0)], EDGE)
+    for most in (None, 5)[:1 if hub == 3 else 2]:
+        got = {}
+        for r in tv.shortest_paths(pairs, edges, max_depth=most, hub=hub).collect():
+            got.setdefault(r.pair, {})[r.step] = r.id
+        assert {p: [s[i] for i in range(len(s))] for p, s in got.items()} == {
+            f"p{i}": path(*w, most) for i, w in enumerate(wanted) if w[1] and path(*w, most)}
+    assert tv.shortest_paths(pairs.limit(0), edges).count() == 0 and tv.shortest_paths(pairs, edges.limit(0)).count() == sum(a == b for a, b in wanted)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("adjacency_")]
+
+
+def test_adjacency_is_not_exchanged(spark, graph):
+    _, edges, _, _ = graph
+    with search.stored(edges, hub=5) as adjacency:
+        assert adjacency.hubs.count() > 0
+        ids = written(spark.range(5000).select(F.lit("r").alias("repo_id"), F.format_string("n%02d", "id").alias("id"), F.lit(1).alias("k")))
+        frontier = written(adjacency.placed(ids))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            plan = adjacency.reached(frontier, "k")._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1, plan  # that of the frontier
+
+
 def brute_callers(calls):
     direct = {}
     for src, dst in calls:
