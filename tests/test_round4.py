@@ -1,8 +1,12 @@
 """Work that must not grow faster than the input: results against brute force, and what the plans move."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import explore as xo, reports as rp, traverse as tv
+from corpusgraph.functions import text as tx
+from corpusgraph.operators import explore as xo, reports as rp, semantics as st, traverse as tv
+from corpusgraph.rules import semantics as sm
 
 from test_graph import EDGE, make_nodes
 
@@ -82,3 +86,19 @@ def test_chains_walk_batches_of_entries(spark):
     for r in rows.orderBy("entry", "step").collect():
         got.setdefault(r.entry, []).append(r.id)
     assert got == {f"n{i}": [f"n{k}" for k in range(i, 5)] if i < 5 else ["n5"] for i in range(6)}
+
+
+def test_word_searches_before_patterns_change_no_tag(spark):
+    """Every alternative of the patterns, in other cases and with letters beyond ASCII, gives what the pattern alone gives."""
+    alternatives = {p for ps in (sm.EFFECT_PATTERNS, sm.CONTROL_PATTERNS) for pattern in ps.values() for p in pattern.split("|")}
+    plain = [re.sub(r"\\b|\(\?s\)|\(\?:", "", p).replace(r"\w+", "x1").replace(r"\s*", " ").replace(".*", " ").replace("\\", "").rstrip(")") for p in alternatives]
+    texts = [t for p in plain for t in (p, p.upper(), p.lower(), f"a {p} b", f"é{p}", f"{p} x:", p.replace("k", "\u212a").replace("s", "\u017f"), p[:-1])]
+    texts += ["try { } catch (e)", "try:\n  x\nexcept", "catch try", "finally", "path(a).read", "fopen(f)", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", *[st.shows(e, F.col("t"), F.lower("t")).alias(e) for e in sm.EFFECT_PATTERNS],
+                      *[tx.has(F.col("t"), p, "i").alias(f"{e}_") for e, p in sm.EFFECT_PATTERNS.items()],
+                      st.control_flow(F.col("t")).alias("flow"), *[tx.has(F.col("t"), p).alias(n) for n, p in sm.CONTROL_PATTERNS.items()]).collect()
+    for r in got:
+        assert [r[e] for e in sm.EFFECT_PATTERNS] == [r[f"{e}_"] for e in sm.EFFECT_PATTERNS], r.t
+        assert r.flow == [n for n in sm.CONTROL_PATTERNS if r[n]], r.t
+    assert all(any(r[e] for r in got) for e in sm.EFFECT_PATTERNS)
