@@ -19,6 +19,8 @@ SIZES = (3, 4, 5, 6)
 #: Bound of the labelled sample that the model is fitted on.
 SAMPLE = 8_000
 EPOCHS, BATCH, RATE = 2, 32, 0.1
+#: Texts whose subwords are held at once while the model is fitted.
+PART = 64
 #: Fixed factor of the mean: a toxic text may hold one toxic word in fifty.
 SCALE = 50
 #: Rows of features in fewer sample texts stay zero; a floor keeps rarely updated rows from large steps.
@@ -90,7 +92,9 @@ def fit(texts: pa.Array, labels: np.ndarray):
     back = np.arange(len(labels)) % 5 == 4
     row, bias = _fit(texts.filter(pa.array(~back)), labels[~back])
     if back.any():
-        a, b = _calibrated(_margins(texts.filter(pa.array(back)), [row, bias]), labels[back])
+        held = texts.filter(pa.array(back))
+        margins = np.concatenate([_margins(held.slice(begin, PART), [row, bias]) for begin in range(0, len(held), PART)])
+        a, b = _calibrated(margins, labels[back])
         row, bias = row * a, [bias[0] * a + b]
     return [row, bias]
 
@@ -101,8 +105,8 @@ def _fit(texts: pa.Array, labels: np.ndarray):
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     table_sq, out_sq, bias_sq = np.full(1 << BITS, DAMP, np.float32), np.full_like(out, 1e-8), np.full_like(bias, 1e-8)
     parts = []
-    for begin in range(0, len(texts), 64):
-        index, count = bags(texts.slice(begin, 64))
+    for begin in range(0, len(texts), PART):
+        index, count = bags(texts.slice(begin, PART))
         parts += np.split(index.astype(np.int32), np.cumsum(count)[:-1])
     seen = np.zeros(1 << BITS, np.int32)
     for rows in parts:

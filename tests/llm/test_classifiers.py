@@ -69,3 +69,17 @@ def test_bounded_sample_is_stable(spark, table):
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
     one = sorted(r.text for r in labelled.sample(docs, labels, "quality", 10).collect())
     assert len(one) == 10 and one == sorted(r.text for r in labelled.sample(docs.repartition(7), labels, "quality", 10).collect())
+
+
+def test_toxicity_holds_subwords_of_few_texts_at_once(monkeypatch):
+    held, features = [], toxicity.features
+
+    def counted(texts):
+        held.append(len(texts))
+        return features(texts)
+
+    monkeypatch.setattr(toxicity, "features", counted)
+    texts = pa.array([f"word{i % 7} and more {'foul' if i % 2 else 'fair'}" for i in range(1000)])
+    row, bias = toxicity.fit(texts, np.arange(1000) % 2)
+    assert max(held) <= 64 and sum(held) == 1000
+    assert toxicity.score(pa.array(["so foul", "so fair"]), [row, bias]).round().tolist() == [1.0, 0.0]
