@@ -301,3 +301,30 @@ def test_limits_are_per_repository(spark, graph):
     some = nodes.first().name
     found = xo.search(both, some, limit=1).collect()
     assert sorted(r.repo_id for r in found) == ["other", "r"] and all(some.lower() in f"{r.name} {r.file_path}".lower() for r in found)
+
+
+def test_pairs_share_the_search_of_a_common_end(spark, monkeypatch):
+    """However many pairs begin at a node, it is searched from once: stored level rows follow the ends, not the pairs."""
+    calls = [("a", f"o{i}") for i in range(30)] + [(f"o{i}", f"p{i % 7}") for i in range(30)] + [(f"p{j}", f"s{j}{k}") for j in range(7) for k in range(12)]
+    edges = spark.createDataFrame([("r", x, y, "calls", 1.0) for x, y in calls], EDGE)
+    stored_rows, keep = [], search._Levels.add
+
+    def counted(self, level):
+        out = keep(self, level)
+        stored_rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(search._Levels, "add", counted)
+    totals = {}
+    for n in (1, 12):
+        wanted = [(f"{j}{k}", "r", "a", f"s{j}{k}") for j in range(7) for k in range(n)]
+        stored_rows.clear()
+        pairs = spark.createDataFrame(wanted * 2, "pair string, repo_id string, src string, dst string")
+        got = {}
+        for r in tv.shortest_paths(pairs, edges).collect():
+            got.setdefault(r.pair, []).append((r.step, r.id))
+        firsts = {j: min(f"o{i}" for i in range(30) if i % 7 == j) for j in range(7)}
+        assert {p: sorted(v) for p, v in got.items()} == {p: [(0, "a"), (1, firsts[int(p[0])]), (2, f"p{p[0]}"), (3, d)] for p, _, _, d in wanted}
+        totals[n] = sum(stored_rows)
+    # 84 pairs, 85 ends: each target's own row and its one neighbour, and one search from the source (38 nodes)
+    assert totals[12] <= 2 * 84 + 38 + 84, totals
