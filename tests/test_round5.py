@@ -1,9 +1,11 @@
 """Queries over files and the graph compute and move what they read, not more."""
 
+import re
+
 import pytest
 
 import __spark_entry__  # noqa: F401
-from workload import q_batches, q_graph
+from workload import q_batches, q_graph, views
 
 TABLES = {
     "region": ("r_regionkey long, r_name string", [(0, "ASIA")]),
@@ -28,6 +30,14 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_call_edges_are_distinct_by_their_keys(spark, folder):
+    edges = views.view(spark, folder, "star_edges")
+    inputs = {n: views.view(spark, folder, n) for n in views.refs(views.SHARED["star_edges"], set(views.TABLES))}
+    key = lambda df: sorted(df.collect(), key=repr)
+    assert key(edges) == key(spark.sql(views.SHARED["star_edges"], **inputs))
+    assert len(re.findall(r"Aggregate \[l_\w+#\d+L, l_\w+#\d+L\]", optimized(edges))) == 2, optimized(edges)
+
+
 def test_stored_units_hold_no_tags(spark, folder):
     columns = q_graph.unit_rows(spark, folder).columns
     assert {"imports", "call_tokens", "bases"} <= set(columns) and not {"side_effects", "domain", "complexity", "summary"} & set(columns)
