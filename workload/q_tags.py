@@ -222,8 +222,8 @@ JOIN (SELECT repo_id, path, {_FLOW} AS control_flow FROM {{code_files}}) fl ON f
 JOIN (SELECT repo_id, path, seq, {BUCKET_SQL} AS complexity FROM {{scored}}) c ON c.repo_id = s.repo_id AND c.path = s.path AND c.seq = s.seq""")
 
 
-def units(spark, sf):
-    return build.units(code_files(spark, sf))
+def units(spark, sf, only=None):
+    return build.units(code_files(spark, sf), only=only)
 
 
 @query("c7_symbol_tags", "SELECT repo_id, path, name, seq + 1 AS seq, effects, control_flow, domain, role FROM {o_units}")
