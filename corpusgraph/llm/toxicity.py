@@ -21,6 +21,8 @@ SAMPLE = 8_000
 EPOCHS, BATCH, RATE = 2, 32, 0.1
 #: Texts whose subwords are held at once while the model is fitted.
 PART = 64
+#: Rows of the table that are drawn at once; it has a multiple of them.
+ROWS = 1 << 14
 #: Fixed factor of the mean: a toxic text may hold one toxic word in fifty.
 SCALE = 50
 #: Rows of features in fewer sample texts stay zero; a floor keeps rarely updated rows from large steps.
@@ -100,10 +102,6 @@ def fit(texts: pa.Array, labels: np.ndarray):
 
 
 def _fit(texts: pa.Array, labels: np.ndarray):
-    rng = np.random.default_rng(5)
-    table = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
-    out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    table_sq, out_sq, bias_sq = np.full(1 << BITS, DAMP, np.float32), np.full_like(out, 1e-8), np.full_like(bias, 1e-8)
     parts = []
     for begin in range(0, len(texts), PART):
         index, count = bags(texts.slice(begin, PART))
@@ -112,9 +110,16 @@ def _fit(texts: pa.Array, labels: np.ndarray):
     for rows in parts:
         seen[rows] += 1
     known = seen >= SEEN
-    table[~known] = 0
     sizes = np.array([max(len(rows), 1) for rows in parts])
-    parts = [rows[known[rows]] for rows in parts]
+    for n, rows in enumerate(parts):  # in place: what is not known is freed before the table is made
+        parts[n] = rows[known[rows]]
+    rng = np.random.default_rng(5)
+    table = np.empty((1 << BITS, DIM), np.float32)
+    for begin in range(0, len(table), ROWS):  # drawn as doubles, so a part at a time
+        table[begin:begin + ROWS] = rng.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM))
+    table[~known] = 0
+    out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
+    table_sq, out_sq, bias_sq = np.full(1 << BITS, DAMP, np.float32), np.full_like(out, 1e-8), np.full_like(bias, 1e-8)
     for epoch in range(EPOCHS):
         rate = np.float32(RATE * (1 - epoch / EPOCHS))
         for begin in range(0, len(parts), BATCH):
