@@ -1,10 +1,12 @@
-"""Tables that are small as files only are not broadcast."""
+"""Tables that are small as files only are not broadcast; nodes settled by a few of their callers."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import tables
-from corpusgraph.operators import change_impact as ci, traverse as tv
+from corpusgraph.operators import change_impact as ci, importance as im, traverse as tv
+
+from test_graph import brute_callers
 
 BY_FILES, BY_ROWS = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 
@@ -47,3 +49,29 @@ def test_thresholds_of_the_session(spark, thresholds):
     spark.conf.set(BY_FILES, "-1"), spark.conf.unset(BY_ROWS)
     tables.tune(spark)
     assert (number(BY_FILES), number(BY_ROWS)) == (-1, -1)
+
+
+@pytest.fixture
+def followed(monkeypatch):
+    """How often the calls of open nodes were followed one by one."""
+    seen, follow = [], im._followed
+    monkeypatch.setattr(im, "_followed", lambda *a: seen.append(1) or follow(*a))
+    return seen
+
+
+def counted(spark, calls):
+    edges = spark.createDataFrame([("r", a, b, "calls") for a, b in calls], "repo_id string, src string, dst string, type string")
+    return {r.id: (r.direct, min(r.indirect, im.CALLER_CAP)) for r in im.caller_counts(edges).collect()}
+
+
+def test_few_callers_settle_a_star(spark, followed):
+    """Customers call orders, orders parts, parts suppliers: no call is followed."""
+    calls = {(f"C{o % 90}", f"O{o}") for o in range(300)} | {(f"O{o}", f"P{o * k % 17}") for o in range(300) for k in (1, 5)} | {(f"P{p}", f"S{p % 2}") for p in range(17)}
+    assert counted(spark, calls) == brute_callers(calls) and not followed
+
+
+def test_open_nodes_are_followed(spark, followed):
+    """Nulls, a node that calls itself, two that call each other, one with a single indirect caller."""
+    calls = {("a", "a"), ("b", "c"), ("c", "b"), ("x", "y"), ("y", "z"), ("d", "d"), ("e", "d")}
+    assert counted(spark, calls) == brute_callers(calls) and followed
+    assert counted(spark, {(None, "a"), ("a", "b"), ("q", None), (None, None)}) == {"a": (1, 0), "b": (1, 1), None: (2, 0)}
